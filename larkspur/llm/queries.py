@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import media, mixing
+import public_tokenizers
+
+from larkspur.llm import media, mixing, pieces, simhash, tokstore, topk
 from larkspur.llm.common import documents
 
 
@@ -14,13 +16,35 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, radius=2)
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(embeddings, embeddings.where("vec_id % 50 = 0"), 5)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = tokstore.write_store(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end=0)
+    return tokstore.read_digests(store)
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_mix_sources": op4_mix_sources,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op8_token_store": op8_token_store,
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": topk.TOP_K_SQL}
