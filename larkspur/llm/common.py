@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.session import importable
+
 #: Stands for a null doc_id wherever documents are ordered: such rows come last.
 NULL_ID = (1 << 63) - 1
 
@@ -26,6 +28,7 @@ def tune(spark: SparkSession) -> None:
     shuffle files go as soon as the execution that wrote them ends (every later use reads a
     written table, never an old shuffle).
     """
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
