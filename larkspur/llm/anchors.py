@@ -321,9 +321,9 @@ def resolved(resolve: Callable[[Rows], tuple[np.ndarray, ...]], dtype: str):
 # ---------------------------------------------------------------- all steps
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text with the key (doc, th)."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
+def keyed(docs: DataFrame, row: bool = False) -> DataFrame:
+    """doc_id, text with the key (doc, th); ``row`` adds the whole row as a struct."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.struct("*").alias("row")] * row).withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
     again = docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).count().where("count > 1").limit(1).count()
     return base.withColumn("th", F.xxhash64("text") if again else F.lit(0).cast("long"))
 

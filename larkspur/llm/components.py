@@ -18,10 +18,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     both = both.select("a", "b").union(both.select("b", "a")).distinct()
+    kind = both.schema["a"].dataType
     both = materialize(both, "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast(kind).alias("old"))
         near = materialize(heard.union(labels.select("node", "label", F.col("label").alias("old"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")), "labels")
         far = near.join(near.select(F.col("node").alias("n"), F.col("label").alias("further")), F.col("label") == F.col("n"))
         new = materialize(far.select("node", F.col("further").alias("label"), "old"), "labels")

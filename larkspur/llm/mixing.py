@@ -18,8 +18,13 @@ empty source or table has target 0 or no rows; repeated rows are separate docume
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm.common import materialize, n_words, tune
 
@@ -99,3 +104,40 @@ def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[float, ..
     edge = rows.where(F.col("bucket") == F.col("last")).withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     edge = edge.withColumn("taken", whole + F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("before")))).select(*out)
     return clear.unionByName(edge)
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: rows of ``docs``, all columns, as often as they are taken.
+
+    A document that gives only a part of its words (one a source) comes last cut after that many words,
+    its n_chars (if there) the new length.
+    """
+    rows = docs.select("doc_id", "source", "text", F.struct("*").alias("row"))
+    got = mix(rows, keep=("row",), **options).where("taken > 0")
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    left = F.col("taken") - whole * F.col("size")
+    words = F.explode(F.concat(F.array_repeat(F.col("size"), whole), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<bigint>"))))
+    got = got.select("row", "size", words.alias("words"))
+    names = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fields = dict(zip(names, b.column("row").flatten(), strict=True))
+            new = [first_words(t, n) for t, n in zip(fields["text"].to_pylist(), b.column("words").to_pylist(), strict=True)]
+            fields["text"] = pa.array(new, pa.string())
+            if "n_chars" in fields:
+                fields["n_chars"] = pa.array([len(t) for t in new], pa.int64()).cast(fields["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(list(fields.values()), list(fields))], ["row"])
+
+    part = got.where("words < size").select("row", "words").mapInArrow(cut, T.StructType([T.StructField("row", got.schema["row"].dataType)]))
+    return got.where("words = size").select("row").union(part).select("row.*")
+
+
+def first_words(text: str, n: int) -> str:
+    """``text`` up to the end of its n-th word."""
+    if n <= 0:
+        return ""
+    for k, m in enumerate(re.finditer(r"[^\x20\x09-\x0D]+", text), 1):
+        if k == n:
+            return text[: m.end()]
+    return text

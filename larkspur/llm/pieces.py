@@ -69,7 +69,7 @@ class PieceModel:
         self.surface = {i: s.replace(SPACE, " ").encode() for s, i in piece.items()} | {i: bytes([x]) for x, i in self.bytes.items()}
         newline = "" if "\n" in self.char else "\\n"
         self.segment = re.compile(f"{SPACE}*[^{SPACE}{newline}]+|{SPACE}+" + ("|\\n" if newline else ""))
-        self.cache: dict[str, tuple[str, str]] = {}
+        self.cache: dict[str, tuple[str, str, bytes]] = {}
 
     # ------------------------------------------------------------ merging
 
@@ -181,7 +181,7 @@ class PieceModel:
         return self.segment.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def learn(self, segments: set[str]) -> None:
-        """Encode and remember the segments that are not cached: decimal ids and decoded bytes."""
+        """Encode and remember the segments that are not cached: decimal ids, decoded text, packed ids."""
         missing = [s for s in segments if s not in self.cache]
         if not missing:
             return
@@ -189,7 +189,7 @@ class PieceModel:
             self.cache.clear()
             missing = list(segments)
         for s, ids in zip(missing, self.encode_segments(missing), strict=True):
-            self.cache[s] = (",".join(map(str, ids)), b"".join([self.surface[i] for i in ids]).decode(errors="replace"))
+            self.cache[s] = (",".join(map(str, ids)), b"".join([self.surface[i] for i in ids]).decode(errors="replace"), np.array(ids, np.int32).tobytes())
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.encode_segments(self.split(text)) for i in ids]
@@ -222,7 +222,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = (), wit
                 ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_hash.append(hashlib.sha256(text.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
+                    all_ids.append(np.frombuffer(b"".join([f[2] for f in found]), np.int32))
             cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

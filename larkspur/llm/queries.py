@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from larkspur.llm import lempelziv, media, mixing, pieces, simhash, suffixes, tokstore, topk
+from larkspur.llm import cotrain, lempelziv, linededup, media, mixing, pieces, simhash, suffixes, tokstore, topk
 from larkspur.llm.common import documents
 
 
@@ -37,11 +37,19 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempelziv.remove_passages(documents(spark, sf_dir)).drop("kept_text")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(documents(spark, sf_dir)).drop("kept_text")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = tokstore.write_store(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end=0)
     return tokstore.read_digests(store)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(documents(spark, sf_dir))
 
@@ -53,7 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_token_store": op8_token_store,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_media_columns": op10_media_columns,
 }
 

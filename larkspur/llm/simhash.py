@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import NULL_ID, materialize, partitions, texts, tune, whole_groups
@@ -192,3 +192,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 2) -> DataF
     classes = nodes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("c"))
     classes = materialize(classes, "classes")
     return signed.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("c") < NULL_ID, F.col("c")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, without all but the smallest doc_id of each component.
+
+    Of rows that repeat a kept doc_id the one with the least text hash stays.
+    """
+    groups = near_duplicates(docs, shingle, radius)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"))
+    first = Window.partitionBy("key").orderBy(F.xxhash64("row.text"))
+    return rows.join(kept, "key", "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*")
