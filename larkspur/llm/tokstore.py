@@ -10,9 +10,8 @@ chunks, so each chunk is read once however many documents share it.
 Files: ``chunks`` (digest, data: little-endian ids of ``width`` bytes), ``recipes`` (shard, at, doc_id,
 start in the shard, n_tokens, digests), ``manifest`` (shard, root, n_tokens, start).
 
-Encoding equals the tokenizers library's with add_special_tokens=False. A text is cut at white space
-where the byte-level pre-tokeniser always cuts too, and the ids of each distinct piece, encoded by the
-library, are remembered; a text that spells an added token is encoded whole by the library.
+Encoding equals the tokenizers library's with add_special_tokens=False: the same vocabulary and merges
+run in tiktoken, and a text that spells an added token goes to the library itself.
 
 Defined cases: a null or empty text has the end id alone; null doc_ids come last and stay null;
 repeated doc_ids are separate documents, ordered by their recipes; only doc_id and text are read.
@@ -21,9 +20,11 @@ repeated doc_ids are separate documents, ordered by their recipes; only doc_id a
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,18 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import NULL_ID, materialize, partitions, texts, tune, whole_groups
 
 WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096  #: ids
-CACHED = 200_000
-#: Characters with the Unicode property White_Space.
-BLANK = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Fixed value: how the byte-level pre-tokeniser cuts a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
-    """Byte-level BPE of the tokenizers library behind a cache of white-space-delimited pieces."""
+    """The tokenizers library's byte-level BPE, by tiktoken wherever that takes the same merges.
+
+    tiktoken merges by token id; that is the library's order if ids grow along its list of merges.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -50,24 +54,35 @@ class Encoder:
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
         added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.piece = re.compile(f"[{BLANK}]+(?![^{BLANK}])| ?[^{BLANK}]+|[{BLANK}]+")
-        self.cache: dict[str, bytes] = {}
-
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        self.fast = None
+        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        plain = spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+        pre = spec.get("pre_tokenizer") or {}
+        if plain and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True):
+            vocab = spec["model"]["vocab"]
+            byte = self.byte_letters()
+            merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+            made = [vocab[a + b] for a, b in merges]
+            left_out = set(added)
+            ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in left_out}
+            if made == sorted(set(made)) and len(ranks) == 256 + len(made):
+                self.fast = tiktoken.Encoding("larkspur", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @staticmethod
+    def byte_letters() -> dict[str, int]:
+        """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else from 256 on."""
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in shown]
+        return {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(rest)}
+
+    def ids(self, text: str) -> list[int]:
+        if self.fast is None or (self.added and self.added.search(text)):
+            return self.lib.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
     def encode_batch(self, docs: list[str], end: int) -> list[bytes]:
-        split = [None if self.added and self.added.search(t) else self.piece.findall(t) for t in docs]
-        want: set[str] = set().union(*(s for s in split if s))
-        missing = [p for p in want if p not in self.cache]
-        if missing and len(self.cache) + len(missing) > CACHED:
-            self.cache.clear()
-            missing = list(want)
-        if missing:
-            for p, e in zip(missing, self.lib.encode_batch(missing, add_special_tokens=False), strict=True):
-                self.cache[p] = self.pack(e.ids)
-        cache, tail = self.cache, self.pack([end])
-        return [(self.pack(self.lib.encode(t, add_special_tokens=False).ids) if s is None else b"".join([cache[p] for p in s])) + tail for t, s in zip(docs, split, strict=True)]
+        kind = f"<u{self.width}"
+        return [np.array([*self.ids(t), end], kind).tobytes() for t in docs]
 
 
 _encoders: dict[str, Encoder] = {}
