@@ -589,33 +589,19 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.log().agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("different"))
 
 
-@query("fbin_scan", _rows_sql("WHERE vec_id < 200"))
-def fbin_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row numbers are ids, as in a dataset file; two hundred rows are what the written file holds."""
-    return _long(_vector_file(spark, sf_dir, "fbin"))
-
-
-@query("npy_scan", _rows_sql("WHERE vec_id < 200"))
-def npy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(_vector_file(spark, sf_dir, "npy"))
+def _vector_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The table written as vector files, by its tasks, and read back; its ids are row numbers already."""
+    files.register(spark)
+    path = workdir(spark, kind)
+    files.write_vectors(embeddings(spark, sf_dir), path, kind)
+    return _long(spark.read.format(kind).option("split", "512").load(path))
 
 
-def _vector_file(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    import io
+@query("fbin_scan", _rows_sql())
+def fbin_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_files(spark, sf_dir, "fbin")
 
-    from pyarrow import fs
 
-    files.register(spark)
-    some = embeddings(spark, sf_dir).where("vec_id < 200").orderBy("vec_id").select("embedding").limit(200).collect()
-    x = np.array([r["embedding"] for r in some], np.float32)
-    path = f"{workdir(spark, kind)}.{kind}"
-    system, where = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-    system.create_dir(where.rpartition("/")[0], recursive=True)
-    out = io.BytesIO()
-    if kind == "npy":
-        np.save(out, x)
-    else:
-        out.write(np.array(x.shape, "<i4").tobytes() + x.astype("<f4").tobytes())
-    with system.open_output_stream(where) as f:
-        f.write(out.getvalue())
-    return spark.read.format(kind).option("split", "64").load(path)
+@query("npy_scan", _rows_sql())
+def npy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_files(spark, sf_dir, "npy")

@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from larkspur.operators.index import IndexOptions, build_index, search_index
 from larkspur.operators.kernels import best, matrix
@@ -28,8 +27,8 @@ from larkspur.operators.knn import RESULT, merge_top_k, query_matrix
 from larkspur.operators.routing import Router
 from larkspur.session import importable
 
-LOG = T.StructType.fromDDL("partition_id long, log_offset long, vec_id long, embedding array<float>, batch long")
-MANIFEST = T.StructType.fromDDL("partition_id long, segment_id long, base long, end long, n long, family string, payload binary, batch long")
+LOG = "partition_id long, log_offset long, vec_id long, embedding array<float>, batch long"
+MANIFEST = "partition_id long, segment_id long, base long, end long, n long, family string, payload binary, batch long"
 
 
 # ---------------------------------------------------------------- offsets
@@ -130,7 +129,7 @@ class VectorLog:
     segment_bytes: int = 7_500_000
     options: IndexOptions = IndexOptions()
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame:
+    def _read(self, name: str, schema: str) -> DataFrame:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
