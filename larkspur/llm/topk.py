@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import materialize, partitions, tune
 
 LEVELS = (2, 8, 16)  #: segments of the bounds, coarse to fine
-QUERIES, CANDIDATES = 256, 4096  #: vectors in a block
+QUERIES, CANDIDATES = 256, 2048  #: vectors in a block
+PAIRS = 1 << 15  #: pairs multiplied at a time
 LARGEST = 1 << 20
 
 
@@ -76,6 +77,15 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([mean, dev]) * np.sqrt(np.r_[size, size])
 
 
+def pair_products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of rows i of a with rows j of b, a bounded number at a time."""
+    out = np.empty(len(i), np.result_type(a, b))
+    for at in range(0, len(i), PAIRS):
+        k = slice(at, at + PAIRS)
+        out[k] = np.einsum("ij,ij->i", a[i[k]], b[j[k]])
+    return out
+
+
 def search_block(qids: np.ndarray, q: np.ndarray, xids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query its (scores, ids) that can be among the k best, given that ``floor`` is reached elsewhere."""
     qf, xf = q.astype(np.float64), x.astype(np.float64)
@@ -85,8 +95,9 @@ def search_block(qids: np.ndarray, q: np.ndarray, xids: np.ndarray, x: np.ndarra
     own = qids[:, None] == xids[None, :]
     alive = ~own
 
-    def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", q[i], x[j])
+    # scores below 2^53 are exact as floats, which multiply faster
+    small = q.size == 0 or x.size == 0 or float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53
+    qe, xe = (qf, xf) if small else (q, x)
 
     for level, segments in enumerate(LEVELS):
         a, b = statistics(qf, segments), statistics(xf, segments)
@@ -95,20 +106,20 @@ def search_block(qids: np.ndarray, q: np.ndarray, xids: np.ndarray, x: np.ndarra
             bound[~alive] = -np.inf
         else:
             i, j = np.nonzero(alive)
-            part = np.full(alive.shape, -np.inf)
-            part[i, j] = np.einsum("ij,ij->i", a[i], b[j]) + slack[i, j]
-            bound = part
+            bound = np.full(alive.shape, -np.inf)
+            bound[i, j] = pair_products(a, b, i, j) + slack[i, j]
         # the candidates with the best bounds raise the floor
         m = min(k, bound.shape[1])
         top = np.argpartition(-bound, m - 1, axis=1)[:, :m]
         i = np.repeat(np.arange(len(q)), m)
-        s = exact(i, top.ravel()).reshape(len(q), m).astype(np.float64)
+        s = pair_products(qe, xe, i, top.ravel()).reshape(len(q), m).astype(np.float64)
         s[~np.take_along_axis(alive, top, 1)] = -np.inf
         if m == k:
             floor = np.maximum(floor, s.min(1))
-        alive = bound >= floor[:, None]
+        alive &= bound >= floor[:, None]
     i, j = np.nonzero(alive)
-    score = exact(i, j)
+    score = (qe @ xe.T)[i, j] if alive.mean() > 0.1 else pair_products(qe, xe, i, j)
+    score = score.astype(np.int64)
     out = []
     cuts = np.searchsorted(i, np.arange(len(q) + 1))
     for r in range(len(q)):
