@@ -1,10 +1,10 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
 A text becomes segments that no vocabulary piece can cross (a run of spaces with the characters that
-follow it, or a character that is in no piece). The distinct segments of a batch that are not cached
-are encoded together: flat symbol arrays, the least (rank, position) of each segment by a segmented
-minimum, the leftmost best pair of every segment merged at once, arrays compacted, until no segment
-has a pair left. Only one pair a segment merges in a round, as a merge can form a better pair; a
+follow it, a line end). The distinct
+segments of a batch that are not remembered are encoded together: flat symbol arrays, the least (rank,
+position) of each segment by a segmented minimum, the leftmost best pair of every segment merged at
+once, arrays compacted, until no segment has a pair left. Only one pair a segment merges in a round, as a merge can form a better pair; a
 segment longer than LONG symbols goes through a heap instead, which takes the same merges in the same
 order in n log n.
 
@@ -27,10 +27,48 @@ from larkspur.llm.common import tune
 
 SPACE = "▁"
 LONG = 512  #: symbols above which a segment goes through the heap
-CACHED = 200_000  #: segments a Python worker remembers
+CACHED = 250_000  #: segments a generation of a Python worker's memory holds
 NONE = np.int64(1 << 30)
 
 
+class PairTable:
+    """(rank, merged symbol) by pair number: hashed slots, what collides going to a next table."""
+
+    def __init__(self, pairs: dict[int, tuple[int, int]]):
+        key = np.array(sorted(pairs), np.int64)
+        value = np.array([pairs[k] for k in key.tolist()], np.int64).reshape(-1, 2)
+        self.bits = max(10, int(len(key) * 8).bit_length())
+        self.levels = []
+        odd = 0x9E3779B97F4A7C15
+        while len(key):
+            slot = self.slots(key, odd)
+            _, first = np.unique(slot, return_index=True)
+            keys = np.full(1 << self.bits, -2, np.int64)
+            values = np.zeros((1 << self.bits, 2), np.int32)
+            keys[slot[first]], values[slot[first]] = key[first], value[first]
+            self.levels.append((odd, keys, values))
+            rest = np.setdiff1d(np.arange(len(key)), first)
+            key, value, odd = key[rest], value[rest], odd * 0xD1342543DE82EF95 & (1 << 64) - 1 | 1
+
+    def slots(self, key: np.ndarray, odd: int) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(odd)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank NONE where a pair does not merge; negative keys are no pairs."""
+        rank, merged = np.full(len(key), NONE), np.full(len(key), -1, np.int64)
+        todo = np.flatnonzero(key >= 0)
+        for odd, keys, values in self.levels:
+            slot = self.slots(key[todo], odd)
+            held = keys[slot]
+            hit = held == key[todo]
+            got = values[slot[hit]]
+            rank[todo[hit]], merged[todo[hit]] = got[:, 0], got[:, 1]
+            todo = todo[~hit & (held != -2)]  # an empty slot ends the search
+            if not len(todo):
+                break
+        return rank, merged
+
+
 class PieceModel:
     """The vocabulary of a SentencePiece BPE model with byte fallback and identity normalisation."""
 
@@ -63,53 +101,45 @@ class PieceModel:
                     pairs[a * len(number) + b] = (rank[lib.get_score(piece[s])], number[s])
         self.n = len(number)
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.rank = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
-        self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
+        self.table = PairTable(pairs)
         self.surface = {i: s.replace(SPACE, " ").encode() for s, i in piece.items()} | {i: bytes([x]) for x, i in self.bytes.items()}
-        newline = "" if "\n" in self.char else "\\n"
-        self.segment = re.compile(f"{SPACE}*[^{SPACE}{newline}]+|{SPACE}+" + ("|\\n" if newline else ""))
-        self.cache: dict[str, tuple[str, str, bytes]] = {}
+        self.surface_size = np.zeros(n, np.int64)
+        for i, x in self.surface.items():
+            self.surface_size[i] = len(x)
+        self.id_text = [str(i) for i in range(n)]
+        self.id_of = np.array(self.ids, np.int64)
+        self.symbol_of = np.full(0x110000, -1, np.int64)
+        self.symbol_of[[ord(c) for c in chars]] = [self.char[c] for c in chars]
+        line = "" if "\n" in self.char else "\\n"
+        self.segment = re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + (f"|{line}" if line else ""))
+        self.new: dict[str, str] = {}  # segments in use and their ids in decimal
+        self.old: dict[str, str] = {}  # those of the generation before
+        self.odd: dict[str, str] = {}  # decoded text of segments that do not decode to themselves
 
     # ------------------------------------------------------------ merging
 
-    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and merged symbol of each pair; rank NONE where they do not merge."""
-        key = left * self.n + right
-        key[(left < 0) | (right < 0)] = -1
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        ok = self.keys[at] == key
-        return np.where(ok, self.rank[at], NONE), np.where(ok, self.merged[at], -1)
-
-    def rounds(self, words: list[np.ndarray]) -> list[np.ndarray]:
-        """Merge every segment (an array of symbols; negative ones never merge) until none has a pair."""
-        done: list[np.ndarray] = [None] * len(words)
-        sizes = np.array([len(w) for w in words], np.int64)
-        sym = np.concatenate(words) if words else np.zeros(0, np.int64)
-        word = np.repeat(np.arange(len(words)), sizes)
+    def rounds(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge every segment (runs of equal ``word``; negative symbols never merge) until none has a pair."""
+        done: list[tuple[np.ndarray, np.ndarray]] = []
 
         def paired(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             nxt = np.minimum(at + 1, len(sym) - 1)
-            r, m = self.look_up(sym[at], sym[nxt])
-            r[(word[nxt] != word[at]) | (nxt == at)] = NONE
-            return r, m
+            left, right = sym[at], sym[nxt]
+            key = left * self.n + right
+            key[(left < 0) | (right < 0) | (word[nxt] != word[at]) | (nxt == at)] = -1
+            return self.table.find(key)
 
         rank, merged = paired(np.arange(len(sym)))
         while len(sym):
             starts = np.r_[0, np.flatnonzero(word[1:] != word[:-1]) + 1]
             best = np.minimum.reduceat((rank << 32) | np.arange(len(sym)), starts)
             going = (best >> 32) < NONE
+            pos = best & 0xFFFFFFFF
             if not going.all():
-                ends = np.r_[starts[1:], len(sym)]
-                for s, e in zip(starts[~going].tolist(), ends[~going].tolist(), strict=True):
-                    done[word[s]] = sym[s:e].copy()
-                keep = np.repeat(going, ends - starts)
-                shift = np.cumsum(~keep)
-                pos = best[going] & 0xFFFFFFFF
-                pos = pos - shift[pos]
+                keep = np.repeat(going, np.diff(np.r_[starts, len(sym)]))
+                done.append((word[~keep], sym[~keep]))
+                pos = pos[going] - np.cumsum(~keep)[pos[going]]
                 sym, word, rank, merged = sym[keep], word[keep], rank[keep], merged[keep]
-            else:
-                pos = best & 0xFFFFFFFF
             if not len(pos):
                 break
             sym[pos] = merged[pos]
@@ -119,7 +149,9 @@ class PieceModel:
             pos = pos - np.arange(len(pos))
             for at in (pos, pos[pos > 0] - 1):
                 rank[at], merged[at] = paired(at)
-        return done
+        word, sym = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (word, sym)
+        order = np.argsort(word, kind="stable")
+        return sym[order], word[order]
 
     def heap(self, sym: list[int]) -> list[int]:
         """The same merges of one long segment from a priority queue over linked symbols."""
@@ -150,28 +182,30 @@ class PieceModel:
 
     # ------------------------------------------------------------ encode, decode
 
-    def encode_segments(self, segments: list[str]) -> list[list[int]]:
-        """Ids of segments of already prefixed and space-marked text."""
-        other: dict[str, int] = {}  # characters in no piece, as negative symbols
-        char = self.char
-        words = [[char[c] if c in char else other.setdefault(c, -1 - len(other)) for c in s] for s in segments]
-        fallback = {k: [self.bytes[x] for x in c.encode()] for c, k in other.items()}
-        merged: list = [self.heap(w) if len(w) > LONG else None for w in words]
-        short = [k for k, m in enumerate(merged) if m is None]
-        for k, m in zip(short, self.rounds([np.array(words[k], np.int64) for k in short]), strict=True):
-            merged[k] = m.tolist()
-        out = []
-        for m in merged:
-            ids = []
-            for s in m:
-                if s < 0:
-                    ids += fallback[s]
-                elif self.ids[s] < 0:
-                    ids += [self.bytes[x] for x in self.symbols[s].encode()]
-                else:
-                    ids.append(self.ids[s])
-            out.append(ids)
-        return out
+    def encode_flat(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments laid end to end, and each id's segment number."""
+        sizes = np.array([len(x) for x in segments], np.int64)
+        code = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sym = self.symbol_of[code]
+        sym = np.where(sym < 0, -1 - code, sym)  # a character in no piece never merges
+        word = np.repeat(np.arange(len(segments)), sizes)
+        long = np.flatnonzero(sizes > LONG)
+        short = ~np.isin(word, long)
+        sym_parts, word_parts = zip(self.rounds(sym[short], word[short]), *((np.array(self.heap(sym[word == k].tolist()), np.int64), k) for k in long.tolist()), strict=True)
+        sym = np.concatenate(sym_parts)
+        word = np.concatenate([np.full(len(x), w) if np.ndim(w) == 0 else w for x, w in zip(sym_parts, word_parts, strict=True)])
+        order = np.argsort(word, kind="stable")
+        sym, word = sym[order], word[order]
+        ids = np.where(sym < 0, -1, self.id_of[np.maximum(sym, 0)])
+        bad = np.flatnonzero(ids < 0)
+        if len(bad):  # bytes in place of characters that have no piece
+            spelled = [np.array([self.bytes[x] for x in (chr(-1 - v) if v < 0 else self.symbols[v]).encode()]) for v in sym[bad].tolist()]
+            count = np.ones(len(ids), np.int64)
+            count[bad] = [len(x) for x in spelled]
+            where = np.repeat(ids < 0, count)
+            ids, word = np.repeat(ids, count), np.repeat(word, count)
+            ids[where] = np.concatenate(spelled)
+        return ids, word
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids, without the space that encoding puts in front."""
@@ -180,19 +214,50 @@ class PieceModel:
     def split(self, text: str) -> list[str]:
         return self.segment.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def learn(self, segments: set[str]) -> None:
-        """Encode and remember the segments that are not cached: decimal ids, decoded text, packed ids."""
-        missing = [s for s in segments if s not in self.cache]
-        if not missing:
-            return
-        if len(self.cache) + len(missing) > CACHED:
-            self.cache.clear()
-            missing = list(segments)
-        for s, ids in zip(missing, self.encode_segments(missing), strict=True):
-            self.cache[s] = (",".join(map(str, ids)), b"".join([self.surface[i] for i in ids]).decode(errors="replace"), np.array(ids, np.int32).tobytes())
+    def learn(self, segments: set[str]) -> dict[str, str]:
+        """Remember the decimal ids of all these segments; returns where they are.
+
+        What a segment decodes to is checked here: nearly all decode to themselves, the rest goes to
+        ``odd``. Once the new generation is full it becomes the old one, so segments in use stay.
+        """
+        if len(self.new) > CACHED:
+            self.old, self.new, self.odd = self.new, {}, {}
+        new, old = self.new, self.old
+        missing = [x for x in segments if x not in new]
+        fresh = []
+        for x in missing:
+            ids = old.get(x)
+            if ids is None:
+                fresh.append(x)
+            else:
+                new[x] = ids
+        fresh = [x for x in fresh if x]
+        for at in range(0, len(fresh), 50_000):
+            part = fresh[at : at + 50_000]
+            ids, word = self.encode_flat(part)
+            cut = np.searchsorted(word, np.arange(len(part) + 1)).tolist()
+            text = [self.id_text[i] for i in ids.tolist()]
+            for k, x in enumerate(part):
+                new[x] = ",".join(text[cut[k] : cut[k + 1]])
+            want = [x.replace(SPACE, " ").encode() for x in part]
+            same = np.add.reduceat(self.surface_size[ids], cut[:-1]) == [len(x) for x in want]
+            if not same.all() or b"".join([self.surface[i] for i in ids.tolist()]) != b"".join(want):
+                for k, x in enumerate(part):
+                    got = b"".join([self.surface[i] for i in ids[cut[k] : cut[k + 1]].tolist()])
+                    if got != want[k]:
+                        self.odd[x] = got.decode(errors="replace")
+        return new
+
+    def encode_text(self, segments: list[str]) -> tuple[str, str]:
+        """Decimal ids of a split and learnt text, and what they decode to."""
+        new, odd = self.new, self.odd
+        ids = ",".join([new[x] for x in segments])
+        text = "".join([odd.get(x) or x.replace(SPACE, " ") for x in segments] if odd else segments).replace(SPACE, " ")
+        return ids, text.removeprefix(" ")
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.encode_segments(self.split(text)) for i in ids]
+        segments = self.split(text)
+        return self.encode_flat(segments)[0].tolist() if segments else []
 
 
 _models: dict[str, PieceModel] = {}
@@ -215,14 +280,12 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = (), wit
             m.learn(set().union(*split))
             n, ids_hash, text_hash, all_ids = [], [], [], []
             for segments in split:
-                found = [m.cache[s] for s in segments]
-                ids = ",".join([f[0] for f in found])
-                text = "".join([f[1] for f in found]).removeprefix(" ")
+                ids, text = m.encode_text(segments)
                 n.append(ids.count(",") + 1 if ids else 0)
                 ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_hash.append(hashlib.sha256(text.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(np.frombuffer(b"".join([f[2] for f in found]), np.int32))
+                    all_ids.append(np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
             cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
