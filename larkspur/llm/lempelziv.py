@@ -131,3 +131,16 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     base = keyed(docs)
     spans = passage_spans(base)
     return base.join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+REMOVE_PASSAGES_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 2}))) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s),
+r AS (SELECT doc_id, i FROM s JOIN f USING (s) WHERE first < doc_id),
+k AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS x FROM d),
+c AS (SELECT k.doc_id, k, x, coalesce(k - max(i) OVER (PARTITION BY k.doc_id ORDER BY k) < {WINDOW}, false) AS cut FROM k LEFT JOIN r ON r.doc_id = k.doc_id AND r.i = k.k),
+g AS (SELECT doc_id, count(*) FILTER (cut) AS n_removed, string_agg(x, ' ' ORDER BY k) FILTER (NOT cut) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""

@@ -359,7 +359,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             row = b.column("row")
             fields = dict(zip(names, row.flatten(), strict=True))
             new = []
-            for text, places in zip(texts(b), b.column("gone").to_pylist(), strict=True):
+            old = [(t or "").encode() for t in fields["text"].to_pylist()]
+            for text, places in zip(old, b.column("gone").to_pylist(), strict=True):
                 out = set(places or ())
                 new.append(b"\n".join([x for k, x in enumerate(text.split(b"\n")) if k not in out]).decode() if out else text.decode())
             changed = np.array([bool(p) for p in b.column("gone").to_pylist()], bool)
@@ -369,7 +370,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 fields["n_chars"] = pc.if_else(pa.array(changed), sizes, fields["n_chars"])
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(list(fields.values()), list(fields))], ["row"])
 
-    out = rows.join(marks, ["doc", "th"], "left").select("row", "text", "gone").mapInArrow(run, T.StructType([T.StructField("row", kind)]))
+    out = rows.join(marks, ["doc", "th"], "left").select("row", "gone").mapInArrow(run, T.StructType([T.StructField("row", kind)]))
     return out.select("row.*")
 
 

@@ -67,4 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": topk.TOP_K_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_dedup": suffixes.REMOVE_SUBSTRINGS_SQL,
+    "op3_exact_top_k": topk.TOP_K_SQL,
+    "op6_substring_dedup": lempelziv.REMOVE_PASSAGES_SQL,
+}

@@ -159,3 +159,19 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     base = keyed(docs)
     spans = substring_spans(base)
     return base.join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+
+
+REMOVE_SUBSTRINGS_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * WINDOW})) AS s FROM (
+    SELECT doc_id, h, unnest(range(greatest(0, len(h) // 2 - {WINDOW - 1}))) AS i FROM d))),
+b AS (SELECT doc_id, k, substr(h, 2 * k + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(len(h) // 2)) AS k FROM d)),
+c AS (SELECT b.doc_id, k, x, coalesce(k - max(w.i) OVER (PARTITION BY b.doc_id ORDER BY k) < {WINDOW}, false) AS cut
+  FROM b LEFT JOIN (SELECT doc_id, i FROM w WHERE r > 1) w ON w.doc_id = b.doc_id AND w.i = b.k),
+e AS (SELECT doc_id, k, x, cut, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY k), false) AS head FROM c),
+g AS (SELECT doc_id, count(*) FILTER (cut) AS n_removed, count(*) FILTER (head) AS n_spans, string_agg(x, '' ORDER BY k) FILTER (NOT cut) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
