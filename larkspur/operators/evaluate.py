@@ -46,3 +46,15 @@ def cached_first(wanted: DataFrame, placed: DataFrame, key: str, n: int) -> Data
     """Each wanted key's place: the one it is cached at, else its hash route (negative, so they differ)."""
     both = wanted.join(placed.select(key, "place"), key, "left")
     return both.select(key, F.coalesce(F.col("place"), -1 - hash_route(F.col(key), n)).cast("int").alias("place"))
+
+
+def query_results(found: DataFrame) -> DataFrame:
+    """(query_index, results): one row a query, its neighbours in order, as a results file holds them."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.col("vec_id").cast("string").alias("id"), "distance")))
+    return found.groupBy(F.col("qid").alias("query_index")).agg(F.transform(rows, lambda r: F.struct(r["id"].alias("id"), r["distance"].alias("distance"))).alias("results"))
+
+
+def write_results(found: DataFrame, path: str, **configuration: str | int | float) -> None:
+    """Write results as JSON lines, each with the run's configuration."""
+    conf = F.struct(*[F.lit(v).alias(k) for k, v in configuration.items()]) if configuration else F.lit(None).cast("string")
+    query_results(found).select(conf.alias("configuration"), "*").write.mode("overwrite").json(path)

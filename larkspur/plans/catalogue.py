@@ -479,6 +479,29 @@ def registry_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keys(embeddings(spark, sf_dir)).groupBy(F.element_at(F.split("key", "/"), -2).alias("partition")).agg(F.count("*").alias("n"))
 
 
+@query("registry_lists", f"WITH {KEYS} SELECT 'partition_' || partition_id AS partition, string_agg(key, ' ' ORDER BY key) AS keys FROM ks GROUP BY 1")
+def registry_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = vlog.segment_manifest(vlog.seal_rows(placed(embeddings(spark, sf_dir)), 20))
+    return vlog.registry(m).select("partition", F.array_join("keys", " ").alias("keys"))
+
+
+@query("registry_merge", f"WITH {LOG}, {SEALED} SELECT partition_id, segment_id, base, \"end\", n FROM sealed")
+def registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that are registered again stay as they are."""
+    m = vlog.segment_manifest(vlog.seal_rows(placed(embeddings(spark, sf_dir)), 20))
+    return vlog.registered(m.where("partition_id < 6"), m.where("partition_id > 3").withColumn("n", F.when(F.col("partition_id") < 6, -1).otherwise(F.col("n"))))
+
+
+_RESULTS = f"SELECT qid AS query_index, string_agg(vec_id || ':' || rank, ' ' ORDER BY rank) AS results FROM ({top(PAIRS)}) GROUP BY qid"
+
+
+@query("query_results", f"WITH {BASE} {_RESULTS}")
+def query_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    r = evaluate.query_results(knn.exact_knn(e, asked(e), K))
+    return r.select("query_index", F.array_join(F.transform("results", lambda x, i: F.concat(x["id"], F.lit(":"), i + 1)), " ").alias("results"))
+
+
 _PATHS = "SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'topic/partition_' || label || '/' || vec_id || '-' || (vec_id + 20) || '.log' WHEN 1 THEN 'topic/' || label || '/' || vec_id || '-' || (vec_id + 20) || '.log' WHEN 2 THEN 'topic-' || label || '/' || vec_id || '.log' ELSE '7/x/partition_' || label || '/3/' || vec_id || '.log' END AS path, label FROM embeddings"
 
 

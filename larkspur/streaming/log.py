@@ -112,6 +112,18 @@ def segment_manifest(sealed: DataFrame) -> DataFrame:
     return sealed.groupBy("partition_id", "segment_id").agg(F.min("log_offset").alias("base"), (F.max("log_offset") + 1).alias("end"), F.count("*").alias("n"))
 
 
+def registry(manifest: DataFrame, prefix: str = "idx") -> DataFrame:
+    """(partition, keys) of manifest rows (partition_id, base): index keys in order, by name of their folder."""
+    folder = F.concat(F.lit("partition_"), F.col("partition_id"))
+    key = F.concat_ws("/", F.lit(prefix), folder, F.concat(F.lit("index_"), F.col("base"), F.lit(".ann")))
+    return manifest.select(folder.alias("partition"), key.alias("key")).distinct().groupBy("partition").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+
+
+def registered(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Manifest rows of ``old`` and those of ``new`` whose (partition_id, segment_id) is not there yet."""
+    return old.unionByName(new.join(old.select("partition_id", "segment_id"), ["partition_id", "segment_id"], "left_anti"))
+
+
 def committed_offsets(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("partition_id").agg(F.max("end").alias("committed"))
 
@@ -149,6 +161,14 @@ class VectorLog:
         rows = append_offsets(placed, heads)
         rows.select("partition_id", "log_offset", "vec_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(f"{self.root}/log/batch={batch}")
 
+    def append_to(self, vectors: DataFrame, batch: int, partition: int) -> None:
+        """Write a whole batch to one partition, whatever the router says (for debugging a partition)."""
+        if not 0 <= partition < self.router.n_partitions:
+            raise ValueError(f"there are partitions 0 to {self.router.n_partitions - 1}")
+        heads = self.log().where(F.col("batch") < batch).groupBy("partition_id").agg((F.max("log_offset") + 1).alias("head"))
+        rows = append_offsets(vectors.withColumn("partition_id", F.lit(partition).cast("long")), heads)
+        rows.select("partition_id", "log_offset", "vec_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(f"{self.root}/log/batch={batch}")
+
     def index(self, batch: int) -> None:
         """Seal what is full beyond the committed offsets, build the segments' indexes and commit both at once."""
         manifest, log = self.manifest().where(F.col("batch") < batch), self.log()
@@ -171,6 +191,15 @@ class VectorLog:
     def count_indexes(self) -> DataFrame:
         return self.manifest().groupBy("partition_id").agg(F.count("*").alias("indexes"))
 
+    def registry(self) -> DataFrame:
+        """(partition, keys): the current index keys of each partition, from the manifest alone."""
+        return registry(self.manifest())
+
+    def wait(self, query) -> int:
+        """Wait until a running stream has taken all there is; returns the number of indexes."""
+        query.processAllAvailable()
+        return self.manifest().count()
+
     def cache(self) -> DataFrame:
         """Hold the current indexes in executor memory for repeated searches."""
         return self.manifest().persist()

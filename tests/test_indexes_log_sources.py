@@ -212,3 +212,24 @@ def test_placement_rules(spark):
     places = {r["key"]: r["place"] for r in evaluate.cached_first(keys, placed, "key", 8).collect()}
     assert sum(p == 3 for p in places.values()) == 7 and all(-8 <= p < 0 or p == 3 for p in places.values())
     assert evaluate.cache_misses(keys, placed, "key").count() == 13
+
+
+def test_results_file(spark, tmp_path):
+    x = data(20, 4)
+    q = frame(spark, x[:3], names="qid long, qv array<double>")
+    evaluate.write_results(knn.exact_knn(frame(spark, x), q, 4), f"{tmp_path}/r", k=4, metric="euclidean")
+    rows = spark.read.json(f"{tmp_path}/r").collect()
+    assert len(rows) == 3 and all(len(r["results"]) == 4 and r["configuration"]["k"] == 4 for r in rows)
+    assert all(r["results"][0]["id"] == str(r["query_index"]) and r["results"][0]["distance"] == 0 for r in rows)
+
+
+def test_one_partition_write(spark, tmp_path):
+    x = data(12, 4)
+    engine = vlog.VectorLog(spark, str(tmp_path), routing.CentroidRouter(x[:3]), segment_bytes=60)
+    engine.append_to(frame(spark, x), 0, 2)
+    engine.index(0)
+    assert {r["partition_id"] for r in engine.log().collect()} == {2}
+    keys = engine.registry().collect()
+    assert [r["partition"] for r in keys] == ["partition_2"] and len(keys[0]["keys"]) == engine.count_indexes().first()["indexes"] > 0
+    with pytest.raises(ValueError):
+        engine.append_to(frame(spark, x), 1, 3)
