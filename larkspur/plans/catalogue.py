@@ -180,10 +180,12 @@ def ivf_probe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _probe(spark, sf_dir, 99)
 
 
-def _ivf(e: DataFrame, nprobe: int, n: int = ASKED) -> DataFrame:
+def _ivf(e: DataFrame, *nprobes: int, n: int = ASKED) -> list[DataFrame]:
+    """Search results at each nprobe; centroids are trained once and queries probed once."""
     router = routing.CentroidRouter(centroids(e))
     rows = router.assign(e).drop("distance").join(e.select("vec_id", "embedding"), "vec_id")
-    return vlog.probed_knn(rows, asked(e, n), router.probe(asked(e, n), nprobe), K)
+    probes = router.probe(asked(e, n), max(nprobes))
+    return [vlog.probed_knn(rows, asked(e, n), probes.where(F.col("rank") <= p), K) for p in nprobes]
 
 
 _IVF_PAIRS = f"SELECT qid, e.vec_id, {D2.format(a='qv', b='v')} AS d FROM pr JOIN a USING (p) JOIN e ON e.vec_id = a.vec_id JOIN q USING (qid) WHERE pr.r <= {{n}}"
@@ -191,7 +193,7 @@ _IVF_PAIRS = f"SELECT qid, e.vec_id, {D2.format(a='qv', b='v')} AS d FROM pr JOI
 
 @query("ivf_search", f"WITH {BASE}, {CENTROIDS}, {ASSIGN}, {PROBE} {top(_IVF_PAIRS.format(n=3))}")
 def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(_ivf(embeddings(spark, sf_dir), 3))
+    return ranked(_ivf(embeddings(spark, sf_dir), 3)[0])
 
 
 def _recall_sql(n: int) -> str:
@@ -204,18 +206,18 @@ _RECALL = f"WITH {BASE}, {CENTROIDS}, {ASSIGN}, {PROBE}, truth AS ({top(PAIRS)})
 @query("ivf_recall_at_k", f"{_RECALL} SELECT qid, recall::DOUBLE AS recall FROM ({_recall_sql(3)})")
 def ivf_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    return evaluate.recall(_ivf(e, 3), knn.exact_knn(e, asked(e), K), K)
+    return evaluate.recall(_ivf(e, 3)[0], knn.exact_knn(e, asked(e), K), K)
 
 
 @query("ivf_recall_by_nprobe", f"{_RECALL} SELECT nprobe, round(avg(recall), 6)::DOUBLE AS recall FROM ({' UNION ALL '.join(_recall_sql(n) for n in (1, 2, 4, 10))}) GROUP BY nprobe")
 def ivf_recall_by_nprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    truth = knn.exact_knn(e, asked(e), K)
-    parts = [evaluate.recall(_ivf(e, n), truth, K).agg(F.lit(n).alias("nprobe"), F.round(F.avg("recall"), 6).alias("recall")) for n in (1, 2, 4, 10)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    tried = (1, 2, 4, 10)
+    found = [f.withColumn("nprobe", F.lit(n)) for n, f in zip(tried, _ivf(e, *tried), strict=True)]
+    both = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    truth = knn.exact_knn(e, asked(e), K).select("qid", "vec_id", F.lit(1).alias("hit"))
+    hits = both.join(truth, ["qid", "vec_id"], "left").groupBy("nprobe").agg(F.count("hit").alias("hits"))
+    return hits.select("nprobe", F.round(F.col("hits") / (F.lit(float(K)) * truth.select("qid").distinct().count()), 6).alias("recall"))
 
 
 # ---------------------------------------------------------------- hash routing
