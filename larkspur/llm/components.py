@@ -20,6 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     both = both.select("a", "b").union(both.select("b", "a")).distinct()
     kind = both.schema["a"].dataType
     both = materialize(both, "edges")
+    if not both.limit(1).count():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
         heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast(kind).alias("old"))
