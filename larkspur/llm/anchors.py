@@ -9,7 +9,8 @@ a run. The steps:
    settled as duplicates, so a passage that very many documents share leaves each batch once.
 2. ``settled``: rows dealt and sorted by k-gram; a stream per task with constant state drops k-grams
    that occur once, settles runs whose whole content occurred before, and leaves the runs whose k-gram
-   also occurs in other surroundings.
+   also occurs in other surroundings. K-grams with many different contents (found in a sample of
+   contents, which changes how rows are dealt and nothing else) are dealt by content.
 3. ``contexts``: the symbols of those runs are fetched from the texts. K-grams with more runs than a
    fair share of a task are dealt on by the content of single windows, and again equal windows leave a
    batch once.
@@ -35,6 +36,7 @@ from larkspur.llm.common import NULL_ID, drop, materialize, partitions, texts, w
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
+SAMPLE = 16  #: one in so many contents tells which k-grams are frequent
 PIECE = 1 << 20  #: symbols worked on at a time; longer documents go in overlapping pieces
 
 _powers: list[np.ndarray] = []
@@ -205,14 +207,17 @@ def runs_of(symbols: Callable[[bytes], np.ndarray], spec: Spec):
 
 
 def settled(spec: Spec):
-    """RUNS sorted by all columns to CHECKS: spans, and the runs that are left to compare."""
+    """RUNS and ``hot``, sorted by all columns, to CHECKS: spans, and the runs that are left to compare.
+
+    A hot k-gram is dealt by content and known to occur in several surroundings.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # first row of the last class, and of the last document in it
         for b in batches:
-            cols = [b.column(c).to_numpy() for c in ("h", "content", "doc", "th", "at")]
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "content", "doc", "th", "at", "hot")]
             passing = cols[4] & 255 == 0
-            h, content, doc, th, at = (x[passing] for x in cols)
+            h, content, doc, th, at, hot = (x[passing] for x in cols)
             yield pa.RecordBatch.from_pydict({"span": np.ones(len(h), bool), "h": h, "doc": doc, "th": th, "at": at >> 16, "size": content})
             if passing.all():
                 continue
@@ -220,7 +225,7 @@ def settled(spec: Spec):
             ghosts = 0 if held is None else len(held[0])
             if ghosts:
                 cols = [np.r_[g, x] for g, x in zip(held, cols, strict=True)]
-            h, content, doc, th, at = cols
+            h, content, doc, th, at, hot = cols
             real = np.arange(len(h)) >= ghosts
             new_h = np.r_[True, h[1:] != h[:-1]]
             new = new_h | np.r_[True, content[1:] != content[:-1]]
@@ -230,7 +235,7 @@ def settled(spec: Spec):
             many[-1] = True  # its k-gram may go on in the next batch
             if ghosts:
                 many[0] = True
-            check = real & ~dup & np.repeat(many, np.diff(np.r_[cuts, len(h)]))
+            check = real & ~dup & (np.repeat(many, np.diff(np.r_[cuts, len(h)])) | hot)
             d, t, s, size = merged(doc[real & dup], th[real & dup], at[real & dup] >> 16, (at[real & dup] & 255) + spec.window - 1)
             yield pa.RecordBatch.from_pydict({"span": np.ones(len(d), bool), "h": d, "doc": d, "th": t, "at": s, "size": size})
             yield pa.RecordBatch.from_pydict({"span": np.zeros(int(check.sum()), bool), "h": h[check], "doc": doc[check], "th": th[check], "at": at[check], "size": at[check] & 255})
@@ -335,9 +340,16 @@ def duplicate_spans(docs: DataFrame, spec: Spec, values: Callable[[bytes], np.nd
     """
     parts = partitions(docs)
     base = docs.select("doc", "th", "text")
-    runs = base.mapInArrow(runs_of(values, spec), RUNS)
-    runs = runs.repartition(parts, "h").sortWithinPartitions("h", "content", "doc", "th", "at")
-    found = materialize(runs.mapInArrow(settled(spec), CHECKS), "settled")
+    runs = materialize(base.mapInArrow(runs_of(values, spec), RUNS), "runs")
+    limit = max(256, runs.count() // (4 * parts))
+    sample = runs.where((F.pmod("content", F.lit(SAMPLE)) == 0) & (F.col("at").bitwiseAND(255) > 0))
+    # about 4 * parts keys can pass the limit
+    often = sample.groupBy("h").count().where(F.col("count") * SAMPLE > limit).select("h", F.lit(True).alias("hot"))
+    dealt = runs.join(F.broadcast(often), "h", "left").select(*runs.columns, F.coalesce("hot", F.lit(False)).alias("hot"))
+    dealt = dealt.repartition(parts, F.when(F.col("hot"), F.xxhash64("h", "content")).otherwise(F.col("h")))
+    dealt = dealt.sortWithinPartitions("h", "content", "doc", "th", "at")
+    found = materialize(dealt.mapInArrow(settled(spec), CHECKS), "settled")
+    drop(runs)
     checks = found.where(~F.col("span"))
     limit = max(64, checks.count() // (2 * parts))
     # at most 2 * parts keys can pass the limit
