@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 METRICS = ("euclidean", "cosine", "ip")
+CELLS = 1 << 22  #: distances held at once
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -58,6 +59,10 @@ def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, metric: str) ->
     """The k nearest of x for each query, as (query row, id, distance); equal distances go to the smaller id."""
     if not len(x) or not len(q) or k <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    step = max(1, CELLS // len(x))
+    if len(q) > step:
+        parts = [best(q[at : at + step], x, ids, k, metric) for at in range(0, len(q), step)]
+        return np.concatenate([p[0] + n * step for n, p in enumerate(parts)]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
     d = distances(q, x, metric)
     m = min(k, len(x))
     edge = np.partition(d, m - 1, axis=1)[:, m - 1]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.index import IndexOptions, build_index, search_index
 from larkspur.operators.kernels import best, matrix
-from larkspur.operators.knn import RESULT, merge_top_k, query_matrix
+from larkspur.operators.knn import RESULT, in_blocks, merge_top_k, probing, query_matrix
 from larkspur.operators.routing import Router
 from larkspur.session import importable
 
@@ -226,21 +226,25 @@ class VectorLog:
 def probed_knn(rows: DataFrame, queries: DataFrame, probes: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """Exact top k of (qid, qv) among the rows (partition_id, vec_id, embedding) of each query's partitions."""
     importable(rows.sparkSession)
+    return in_blocks(queries, lambda cut: _probed_knn(rows, cut(queries), cut(probes), k, metric))
+
+
+def _probed_knn(rows: DataFrame, queries: DataFrame, probes: DataFrame, k: int, metric: str) -> DataFrame:
     qids, q = query_matrix(queries)
-    place = {int(x): i for i, x in enumerate(qids.tolist())}
-    asked = probes.groupBy("partition_id").agg(F.collect_list("qid").alias("qids"))
+    asked = probing(probes, qids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             part = b.column("partition_id").to_numpy()
             x, ids = matrix(b.column("embedding")), b.column("vec_id").to_numpy()
-            lists = b.column("qids")
             for p in np.unique(part):
+                mine = asked.get(int(p))
+                if mine is None:
+                    continue
                 here = np.flatnonzero(part == p)
-                mine = np.array(sorted(place[v] for v in lists[int(here[0])].as_py()))
                 i, found, d = best(q[mine], x[here], ids[here], k, metric)
                 yield pa.RecordBatch.from_pydict({"qid": qids[mine][i], "vec_id": found, "distance": d})
 
-    both = rows.select(F.col("partition_id").cast("long").alias("partition_id"), F.col("vec_id").cast("long").alias("vec_id"), "embedding").join(asked, "partition_id")
-    return merge_top_k(both.select("partition_id", "vec_id", "embedding", "qids").mapInArrow(run, RESULT), k)
+    placed = rows.select(F.col("partition_id").cast("long").alias("partition_id"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return merge_top_k(placed.where(F.col("partition_id").isin(list(asked))).mapInArrow(run, RESULT), k)
 
