@@ -195,12 +195,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 2) -> DataF
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 2) -> DataFrame:
-    """The rows of ``docs``, all columns, without all but the smallest doc_id of each component.
+    """The rows of ``docs``, all columns, without all but the first by (doc_id, text hash) of each component.
 
-    Of rows that repeat a kept doc_id the one with the least text hash stays.
+    Components are those of fingerprints alone: rows with a null doc_id are separate documents. Of kept
+    rows that repeat a doc_id that is not null the one with the least text hash stays.
     """
-    groups = near_duplicates(docs, shingle, radius)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"))
-    first = Window.partitionBy("key").orderBy(F.xxhash64("row.text"))
-    return rows.join(kept, "key", "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*")
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "rows")
+    groups = near_duplicates(numbered.select(F.col("uid").alias("doc_id"), "row.text"), shingle, radius)
+    lean = numbered.select("uid", F.col("row.doc_id").cast("long").alias("d"), F.xxhash64("row.text").alias("th"))
+    lean = lean.join(groups.select(F.col("doc_id").alias("uid"), F.col("component_id").alias("c")), "uid")
+    first = Window.partitionBy("c").orderBy(F.coalesce("d", F.lit(NULL_ID)), "th", "uid")
+    kept = lean.withColumn("n", F.row_number().over(first)).where("n = 1")
+    once = Window.partitionBy("d", F.when(F.col("d").isNull(), F.col("uid"))).orderBy("th", "uid")
+    kept = materialize(kept.withColumn("n", F.row_number().over(once)).where("n = 1").select("uid"), "kept")
+    return numbered.join(kept, "uid", "left_semi").select("row.*")

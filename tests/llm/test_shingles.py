@@ -7,7 +7,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from larkspur.llm import shingles  # noqa: E402
+from larkspur.llm import shingles, simhash  # noqa: E402
 
 from .helpers import corpus, odd_tables, prose, table  # noqa: E402
 
@@ -68,3 +68,14 @@ def test_links_beyond_a_buckets_first_node(spark):
     rows = spark.createDataFrame([(1, bytearray(b"a"), 10, bytearray(b"a")), (1, bytearray(b"b"), 10, bytearray(b"b")), (1, bytearray(b"c"), 9, bytearray(b"c"))], "key long, node binary, size int, c binary")
     assert [(bytes(r["a"]), bytes(r["b"])) for r in shingles.bucket_pairs(rows, 0.8, False).collect()] == [(b"b", b"c")]
     assert shingles.bucket_pairs(rows, 0.8, True).count() == 2
+
+
+def test_rows_without_doc_id_are_separate_documents(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, 120) for _ in range(6)]
+    rows = [(None, t, "en", "a", 1) for t in texts[:4] + texts[:1]] + [(7, t, "en", "a", 1) for t in texts[3:5]]
+    got = [r["text"] for r in simhash.one_of_each(table(spark, rows)).collect()]
+    assert sorted(set(got) & set(texts[:3])) == sorted(texts[:3]) and len(got) == len(set(got))
+    kept = corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect()
+    assert sorted(r["text"] for r in kept) == sorted(texts[:5])
+    assert sorted(r["doc_id"] for r in kept if r["text"] in texts[3:5]) == [7, 7]
