@@ -25,6 +25,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 K, ASKED, LISTS, BITS = 10, 10, 10, 4
 EVERY = 50
+PROBES, HASH_PROBES = 9, 5  #: of 10 centroids and of 6 hash partitions; recall of the searches _every50 is tested at 0.9
 PLANES = routing.hyperplanes(64, BITS)
 TABLES = routing.hyperplanes(64, BITS, 42, 3)
 SCALED = "list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 7))"
@@ -204,7 +205,7 @@ _IVF_PAIRS = f"SELECT qid, e.vec_id, {D2.format(a='qv', b='v')} AS d FROM pr JOI
 
 @search("ivf_search", f"WITH {BASE}, {CENTROIDS}, {ASSIGN}, {PROBE} {top(_IVF_PAIRS.format(n=3))}")
 def ivf_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return ranked(_ivf(embeddings(spark, sf_dir), 3, whole=whole)[0])
+    return ranked(_ivf(embeddings(spark, sf_dir), PROBES if whole else 3, whole=whole)[0])
 
 
 def _recall_sql(n: int) -> str:
@@ -217,7 +218,7 @@ _RECALL = f"WITH {BASE}, {CENTROIDS}, {ASSIGN}, {PROBE}, truth AS ({top(PAIRS)})
 @search("ivf_recall_at_k", f"{_RECALL} SELECT qid, recall::DOUBLE AS recall FROM ({_recall_sql(3)})")
 def ivf_recall_at_k(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    return evaluate.recall(_ivf(e, 3, whole=whole)[0], knn.exact_knn(e, asked(e, whole), K), K)
+    return evaluate.recall(_ivf(e, PROBES if whole else 3, whole=whole)[0], knn.exact_knn(e, asked(e, whole), K), K)
 
 
 @search("ivf_recall_by_nprobe", f"{_RECALL} SELECT nprobe, round(avg(recall), 6)::DOUBLE AS recall FROM ({' UNION ALL '.join(_recall_sql(n) for n in (1, 2, 4, 10))}) GROUP BY nprobe")
@@ -298,7 +299,7 @@ def lsh_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFra
     e = embeddings(spark, sf_dir)
     router = routing.HashRouter(6, 64, BITS, planes=PLANES[None])
     rows = router.assign(e).join(e.select("vec_id", "embedding"), "vec_id")
-    return ranked(vlog.probed_knn(rows, asked(e, whole), router.probe(asked(e, whole), 2), K))
+    return ranked(vlog.probed_knn(rows, asked(e, whole), router.probe(asked(e, whole), HASH_PROBES if whole else 2), K))
 
 
 _MHT = " UNION ALL ".join(f"SELECT vec_id, {t}::INT AS \"table\", code FROM ({_codes_sql(TABLES[t])})" for t in range(3))
@@ -417,7 +418,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> Data
     """Flat indexes of the sealed segments and a scan of the tail, merged."""
     e = embeddings(spark, sf_dir)
     index, rest, _ = _index(e, IndexOptions())
-    probes = routing.CentroidRouter(centroids(e)).probe(asked(e, whole), 4)
+    probes = routing.CentroidRouter(centroids(e)).probe(asked(e, whole), PROBES if whole else 4)
     both = search_index(index, asked(e, whole), probes, K, IndexOptions()).unionByName(vlog.probed_knn(rest, asked(e, whole), probes, K))
     return ranked(knn.merge_top_k(both.drop("rank"), K))
 
@@ -550,22 +551,31 @@ def batch_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- index families, training
 
 
-def _family(spark: SparkSession, sf_dir: str, options: IndexOptions, whole: bool) -> DataFrame:
+def _exact(found: DataFrame, e: DataFrame, q: DataFrame) -> DataFrame:
+    """Candidates with the distances of the vectors themselves, as codes give them only nearly."""
+    both = found.select("qid", "vec_id").join(e.select("vec_id", "embedding"), "vec_id").join(q, "qid")
+    return both.select("qid", "vec_id", V.l2(V.doubles(F.col("embedding")), V.doubles(F.col("qv"))).alias("distance"))
+
+
+def _family(spark: SparkSession, sf_dir: str, options: IndexOptions, whole: bool, candidates: int = K) -> DataFrame:
     e = embeddings(spark, sf_dir)
     index, rest, _ = _index(e, options, 40)
-    probes = routing.CentroidRouter(centroids(e)).probe(asked(e, whole), 4)
-    both = search_index(index, asked(e, whole), probes, K, options).unionByName(vlog.probed_knn(rest, asked(e, whole), probes, K))
-    return ranked(knn.merge_top_k(both.drop("rank"), K))
+    probes = routing.CentroidRouter(centroids(e)).probe(asked(e, whole), PROBES if whole else 4)
+    found = search_index(index, asked(e, whole), probes, candidates, options).drop("rank")
+    if candidates > K:
+        found = _exact(found, e, asked(e, whole))
+    both = found.unionByName(vlog.probed_knn(rest, asked(e, whole), probes, K).drop("rank"))
+    return ranked(knn.merge_top_k(both, K))
 
 
 @search("index_ivfflat_search")
 def index_ivfflat_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _family(spark, sf_dir, IndexOptions("ivfflat", flat_up_to=16, lists=6, probes=3), whole)
+    return _family(spark, sf_dir, IndexOptions("ivfflat", flat_up_to=16, lists=6, probes=6 if whole else 3), whole)
 
 
 @search("index_ivfpq_search")
 def index_ivfpq_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _family(spark, sf_dir, IndexOptions("ivfpq", flat_up_to=16, lists=4, probes=4, pq_from=16, pq_bits=5), whole)
+    return _family(spark, sf_dir, IndexOptions("ivfpq", flat_up_to=16, lists=4, probes=4, pq_from=16, pq_bits=5), whole, 10 * K if whole else K)
 
 
 @search("index_hnsw_search")
@@ -621,7 +631,7 @@ def stream_seal_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Index and tail, whatever the cut between them, give what a search of the partitions gives."""
     engine, e = _engine(spark, sf_dir, 2)
-    return ranked(engine.search(asked(e, whole), K, 4))
+    return ranked(engine.search(asked(e, whole), K, PROBES if whole else 4))
 
 
 @query("stream_replay", "SELECT count(*) AS n, count(DISTINCT vec_id) AS different FROM embeddings")

@@ -61,3 +61,11 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     router = routing.CentroidRouter(x[:4])
     rows = router.assign(e).drop("distance").join(e, "vec_id")
     assert got(vlog.probed_knn(rows, q, router.probe(q, 4), 3)) == brute(x, x, 3)
+
+
+@pytest.mark.parametrize("name", ["ivf_search", "lsh_search", "hybrid_search", "index_ivfflat_search", "index_ivfpq_search", "index_hnsw_search", "stream_search"])
+def test_recall_reaches_nine_tenths(spark, vectors, name):
+    truth, found = brute_sets(*vectors), found_sets(catalogue.QUERIES[f"{name}_every50"](spark, SF))
+    recall = np.mean([len(set(found.get(q, [])) & set(t)) / len(t) for q, t in truth.items()])
+    print(f"recall {name} {recall:.4f}")
+    assert recall >= 0.9
