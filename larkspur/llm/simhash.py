@@ -6,8 +6,9 @@ a value are linked. Values are shuffled by a key made of parities of groups of b
 a fingerprint fall into few keys (each flip changes one parity), so a fingerprint is sent once to each
 such key, and the task that owns the key makes exactly the values that belong to it, sorts them and
 finds those that occur twice. Colliding pairs are verified; of a value's fingerprints each is linked
-to the first alone, and a key keeps a spanning forest of its links, so a dense group gives as many
-links as it has members, never all pairs. Equal fingerprints are one before anything is emitted.
+to the least alone, a key keeps a spanning forest of its links, and links of a member to several roots
+are moved on to the least of these before any join, so a dense group gives about as many links as it
+has members, never all pairs. Equal fingerprints are one before anything is emitted.
 
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like any other; a text
 of fewer words than a shingle hashes whole; a null doc_id stays null and counts as larger than any;
@@ -25,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import NULL_ID, materialize, partitions, texts, tune, whole_groups
+from larkspur.llm.common import NULL_ID, drop, materialize, partitions, texts, tune, whole_groups
 from larkspur.llm.components import components
 
 BITS = 64
 AT_ONCE = 1 << 16  #: shingles hashed at a time
 VALUES = 500_000  #: ball values a key holds on average
+AT_MOST = 1 << 23  #: ball values made and sorted at a time
 
 
 def _byte_bits() -> np.ndarray:
@@ -111,39 +113,64 @@ def forest(first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
 
 
 def meet(fp: np.ndarray, change: np.ndarray, ball: Ball, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest among the fingerprints of one key that share a value of it."""
-    order = np.argsort(change, kind="stable")
+    """Links (root, member) of a spanning forest among the fingerprints of one key that share a value of it.
+
+    The root of a tree is its least fingerprint, so that a dense group has the same few roots in all its keys.
+    Values are made and sorted in passes, dealt by hash, so that memory stays bounded however many
+    fingerprints a key has.
+    """
+    order = np.lexsort((fp, change))
     fp, change = fp[order], change[order]
-    cuts = np.r_[0, np.flatnonzero(change[1:] != change[:-1]) + 1, len(change)]
+    rank = np.empty(len(fp), np.int64)
+    by_fp = np.argsort(fp.astype(np.int64), kind="stable")  # as Spark orders longs
+    rank[by_fp] = np.arange(len(fp))
+    total = sum(len(ball.flips[c]) * n for c, n in zip(*(x.tolist() for x in np.unique(change, return_counts=True)), strict=True))
+    passes = -(-total // AT_MOST)
+    first, second = [], []
+    for p in range(passes):
+        lead, owner = _meet(fp, change, rank, ball, radius, p, passes)
+        first.append(lead)
+        second.append(owner)
+    lead, owner = np.concatenate(first), np.concatenate(second)
+    root = forest(rank[lead], rank[owner], len(fp))
+    linked = np.flatnonzero(root != np.arange(len(fp)))
+    return fp[by_fp[root[linked]]], fp[by_fp[linked]]
+
+
+def _meet(fp: np.ndarray, change: np.ndarray, rank: np.ndarray, ball: Ball, radius: int, turn: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs (index of the least, of another fingerprint) of the values of one pass."""
+    spread = np.uint64(0x9E3779B97F4A7C15)
     values, owners = [], []
+    cuts = np.r_[0, np.flatnonzero(change[1:] != change[:-1]) + 1, len(change)]
     for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         flips = ball.flips[int(change[s])]
-        values.append((fp[s:e, None] ^ flips).ravel())
-        owners.append((s, len(flips)))
-    sizes = [len(v) for v in values]
+        step = max(1, AT_MOST // len(flips))
+        for at in range(s, e, step):
+            v = (fp[at : min(e, at + step), None] ^ flips).ravel()
+            own = at + np.arange(len(v), dtype=np.int32) // len(flips)
+            if turns > 1:
+                mine = ((v * spread) >> np.uint64(32)) % np.uint64(turns) == turn
+                v, own = v[mine], own[mine]
+            values.append(v)
+            owners.append(own)
     all_values = np.concatenate(values)
     ordered = np.sort(all_values)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
-        return fp[:0], fp[:0]
-    spread = np.uint64(0x9E3779B97F4A7C15)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     seen = np.zeros(1 << 20, bool)
     seen[(twice * spread) >> np.uint64(44)] = True
     at = np.flatnonzero(seen[(all_values * spread) >> np.uint64(44)])
     v = all_values[at]
     k = np.minimum(np.searchsorted(twice, v), len(twice) - 1)
     ok = twice[k] == v
-    at, k = at[ok], k[ok]
-    part = np.searchsorted(np.cumsum(sizes), at, side="right")
-    begin = np.r_[0, np.cumsum(sizes)[:-1]][part]
-    owner = np.array([o[0] for o in owners])[part] + (at - begin) // np.array([o[1] for o in owners])[part]
-    order = np.lexsort((owner, k))
+    owner, k = np.concatenate(owners)[at[ok]], k[ok]
+    order = np.lexsort((rank[owner], k))
     k, owner = k[order], owner[order]
     lead = owner[np.r_[0, np.flatnonzero(k[1:] != k[:-1]) + 1]][k]
     near = (lead != owner) & (np.bitwise_count(fp[lead] ^ fp[owner]) <= 2 * radius)
-    root = forest(lead[near], owner[near], len(fp))
-    linked = np.flatnonzero(root != np.arange(len(fp)))
-    return fp[root[linked]], fp[linked]
+    pair = np.unique(lead[near].astype(np.int64) << 32 | owner[near])
+    return pair >> 32, pair & 0xFFFFFFFF
 
 
 def links(distinct: DataFrame, count: int, radius: int = 2) -> DataFrame:
@@ -175,7 +202,22 @@ def links(distinct: DataFrame, count: int, radius: int = 2) -> DataFrame:
 
     rows = distinct.select("fp").mapInArrow(emit, "key long, fp long")
     rows = rows.repartition(partitions(distinct), "key").sortWithinPartitions("key")
-    return rows.mapInArrow(collide, "a long, b long").distinct()
+    return contracted(rows.mapInArrow(collide, "a long, b long").distinct())
+
+
+def contracted(pairs: DataFrame) -> DataFrame:
+    """Links (a, b) with the same components, all of a member's but one moved on to its least neighbour.
+
+    A member that several keys linked to several roots keeps the least; the other roots are linked to
+    that, and as the members of a group have the same few roots these links are few.
+    """
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links")
+    least = materialize(pairs.groupBy("b").agg(F.min("a").alias("m"), F.max("a").alias("most")), "least")
+    several = least.where("m < most").select("b", "m")
+    moved = pairs.join(several, "b").where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b")).distinct()
+    out = materialize(least.select(F.col("m").alias("a"), "b").union(moved).distinct(), "links")
+    drop(pairs, least)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 2) -> DataFrame:
@@ -184,13 +226,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 2) -> DataF
     tune(spark)
     signed = materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = materialize(signed.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("rep")), "nodes")
-    pairs = materialize(links(nodes, nodes.count(), radius), "links")
+    pairs = links(nodes, nodes.count(), radius)
     a = nodes.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a"))
     b = nodes.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b"))
     by_rep = pairs.join(a, "a").join(b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     found = components(by_rep)
     classes = nodes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("c"))
     classes = materialize(classes, "classes")
+    drop(pairs, nodes, found)
     return signed.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("c") < NULL_ID, F.col("c")).alias("component_id"))
 
 
