@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.anchors import keyed
+from larkspur.llm.anchors import BASE, PIECE, U, hashes, keyed, mix, prefix
 from larkspur.llm.common import drop, materialize, partitions, texts, tune
 from larkspur.llm.components import components
 
@@ -60,26 +60,49 @@ def lines_of(text: bytes) -> list[str]:
     return [x.strip() for x in text.decode().split("\n")]
 
 
-def keys_of(line: str) -> tuple[list[int], list[int]]:
-    """Keys of a line's own segments, and of the substrings that may match a line as long or shorter."""
-    import xxhash
+def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line index, is a probe) of all lines' own segments, and of the substrings that may match a line as long or shorter.
 
-    n = len(line)
+    All substrings are hashed together from prefix hashes of the lines laid end to end.
+    """
+    code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    c = prefix(mix(code.astype(U) + U(1)))
+    n = np.array([len(x) for x in lines], np.int64)
+    begin = np.cumsum(n) - n
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(line: np.ndarray, length: np.ndarray, i: int, at: np.ndarray, size: np.ndarray, probe: bool) -> None:
+        key = mix(hashes(c, begin[line] + at, size) + U(BASE) * (length * 8 + i).astype(U)) >> U(1)
+        out.append((key.astype(np.int64), line, np.full(len(line), probe)))
+
+    for more in range(EDITS + 1):
+        length = n - more
+        limit = np.minimum(EDITS, length // PER_EDIT)
+        for t in range(EDITS + 1):
+            line = np.flatnonzero((length >= SHORT) & (limit == t) & (more <= t))
+            if not len(line):
+                continue
+            m = length[line]
+            base, extra = m // (t + 1), m % (t + 1)
+            for i in range(t + 1):
+                size = base + (i >= t + 1 - extra)
+                at = i * base + np.maximum(0, i - (t + 1 - extra))
+                if more == 0:
+                    add(line, m, i, at, size, False)
+                low = np.maximum(np.maximum(0, at - i), at + more - (t - i))
+                high = np.minimum(np.minimum(m + more - size, at + i), at + more + (t - i))
+                for p in range(-i, i + 1):
+                    if more or p:
+                        ok = (at + p >= low) & (at + p <= high)
+                        add(line[ok], m[ok], i, at[ok] + p, size[ok], True)
+    key, line, probe = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    return key, line, probe
 
-    def key(length: int, i: int, at: int, size: int) -> int:
-        return xxhash.xxh64_intdigest(line[at : at + size], seed=length * 8 + i) >> 1
 
-    own = [key(n, i, at, size) for i, (at, size) in enumerate(segments(n, threshold(n) + 1))]
-    probes = []
-    for length in range(max(SHORT, n - EDITS), n + 1):
-        t, more = threshold(length), n - length
-        if more > t:
-            continue
-        for i, (at, size) in enumerate(segments(length, t + 1)):
-            low = max(0, at - i, at + more - (t - i))
-            high = min(n - size, at + i, at + more + (t - i))
-            probes += [key(length, i, p, size) for p in range(low, high + 1) if length < n or p != at]
-    return own, probes
+def keys_of(line: str) -> tuple[list[int], list[int]]:
+    """Keys of one line's own segments, and of its probes."""
+    key, _, probe = line_keys([line])
+    return key[~probe].tolist(), key[probe].tolist()
 
 
 def line_hash(line: str) -> bytes:
@@ -199,14 +222,15 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, id) of the distinct lines of each batch; an id's last bit tells segments from probes."""
     for b in batches:
-        seen = {x for t in texts(b) for x in lines_of(t) if len(x) >= SHORT}
-        keys, ids = [], []
-        for x in seen:
-            n = line_number(line_hash(x))
-            own, probes = keys_of(x)
-            keys += own + probes
-            ids += [n] * len(own) + [n | 1] * len(probes)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], ["key", "id"])
+        seen = list({x for t in texts(b) for x in lines_of(t) if len(x) >= SHORT})
+        upto = np.cumsum([len(x) for x in seen])
+        at = 0
+        while at < len(seen):  # PIECE characters, or a longer line alone
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PIECE, side="right")))
+            key, line, probe = line_keys(seen[at:end])
+            number = np.array([line_number(line_hash(x)) for x in seen[at:end]], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(number[line] | probe)], ["key", "id"])
+            at = end
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
