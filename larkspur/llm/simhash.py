@@ -78,19 +78,19 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 class Ball:
-    """All flips of at most ``radius`` bits, by the parities that they change."""
+    """All flips of at most ``radius`` of ``bits`` bits, by the parities that they change."""
 
-    def __init__(self, groups: int, radius: int):
+    def __init__(self, groups: int, radius: int, bits: int = BITS):
         self.groups = groups
-        self.members = [[i for i in range(BITS) if i % groups == g] for g in range(groups)]
+        self.members = [[i for i in range(bits) if i % groups == g] for g in range(groups)]
         self.masks = np.array([sum(1 << i for i in m) for m in self.members], np.uint64)
         flips: dict[int, list[int]] = {}
         for k in range(radius + 1):
-            for bits in itertools.combinations(range(BITS), k):
+            for flipped in itertools.combinations(range(bits), k):
                 key = 0
-                for i in bits:
+                for i in flipped:
                     key ^= 1 << (i % groups)
-                flips.setdefault(key, []).append(sum(1 << i for i in bits))
+                flips.setdefault(key, []).append(sum(1 << i for i in flipped))
         self.flips = {k: np.array(v, np.uint64) for k, v in flips.items()}
         self.changes = np.array(sorted(flips), np.int64)
 

@@ -63,13 +63,6 @@ def test_stage_on_odd_tables(spark):
     assert corpus_pipeline.near_duplicates(spark, odd["extra"], "").columns == odd["extra"].columns
 
 
-def test_links_beyond_a_buckets_first_node(spark):
-    """Of three nodes in a bucket the second and third are near each other alone."""
-    rows = spark.createDataFrame([(1, bytearray(b"a"), 10, bytearray(b"a")), (1, bytearray(b"b"), 10, bytearray(b"b")), (1, bytearray(b"c"), 9, bytearray(b"c"))], "key long, node binary, size int, c binary")
-    assert [(bytes(r["a"]), bytes(r["b"])) for r in shingles.bucket_pairs(rows, 0.8, False).collect()] == [(b"b", b"c")]
-    assert shingles.bucket_pairs(rows, 0.8, True).count() == 2
-
-
 def test_rows_without_doc_id_are_separate_documents(spark):
     rng = random.Random(9)
     texts = [prose(rng, 120) for _ in range(6)]
