@@ -1,12 +1,13 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
 A text becomes segments that no vocabulary piece can cross (a run of spaces with the characters that
-follow it, a line end). The distinct
-segments of a batch that are not remembered are encoded together: flat symbol arrays, the least (rank,
-position) of each segment by a segmented minimum, the leftmost best pair of every segment merged at
-once, arrays compacted, until no segment has a pair left. Only one pair a segment merges in a round, as a merge can form a better pair; a
-segment longer than LONG symbols goes through a heap instead, which takes the same merges in the same
-order in n log n.
+follow it, a line end), and these are cut again where two characters are neighbours in no piece. The
+distinct segments of a batch that are not remembered are encoded together: flat symbol arrays, the least
+pair rank of each segment by a segmented minimum, its leftmost pairs of that rank merged at once, arrays
+compacted, until no segment has a pair left. One pair at a time is what the library does, and a merge can
+form a pair that goes before the next one of the round's rank: where that happens, the segment's merges of
+the round end there. Segments of any length take the same way. A text's decoded form is put together from
+the surfaces of its ids.
 
 Defined cases: a null or empty text has no ids and decodes to the empty string; a null doc_id stays
 null; repeated rows give repeated rows; only doc_id and text are read.
@@ -15,7 +16,6 @@ null; repeated rows give repeated rows; only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from larkspur.llm.common import tune
 
 SPACE = "▁"
-LONG = 512  #: symbols above which a segment goes through the heap
 CACHED = 250_000  #: segments a generation of a Python worker's memory holds
 NONE = np.int64(1 << 30)
 
@@ -100,8 +99,10 @@ class PieceModel:
                 if a is not None and b is not None:
                     pairs[a * len(number) + b] = (rank[lib.get_score(piece[s])], number[s])
         self.n = len(number)
-        self.pairs = pairs
         self.table = PairTable(pairs)
+        beside = {number[p[i]] * len(chars) + number[p[i + 1]] for p in piece for i in range(len(p) - 1)}
+        self.beside = np.array(sorted(beside), np.int64)  # characters that are neighbours in some piece
+        self.n_chars = len(chars)
         self.surface = {i: s.replace(SPACE, " ").encode() for s, i in piece.items()} | {i: bytes([x]) for x, i in self.bytes.items()}
         self.surface_size = np.zeros(n, np.int64)
         for i, x in self.surface.items():
@@ -112,9 +113,8 @@ class PieceModel:
         self.symbol_of[[ord(c) for c in chars]] = [self.char[c] for c in chars]
         line = "" if "\n" in self.char else "\\n"
         self.segment = re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + (f"|{line}" if line else ""))
-        self.new: dict[str, str] = {}  # segments in use and their ids in decimal
-        self.old: dict[str, str] = {}  # those of the generation before
-        self.odd: dict[str, str] = {}  # decoded text of segments that do not decode to themselves
+        self.new: dict[str, tuple[str, str]] = {}  # segments in use, their ids in decimal and what these decode to
+        self.old: dict[str, tuple[str, str]] = {}  # those of the generation before
 
     # ------------------------------------------------------------ merging
 
@@ -122,26 +122,32 @@ class PieceModel:
         """Merge every segment (runs of equal ``word``; negative symbols never merge) until none has a pair."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
 
+        def pair(left: np.ndarray, right: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return self.table.find(np.where(ok & (left >= 0) & (right >= 0), left * self.n + right, -1))
+
         def paired(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             nxt = np.minimum(at + 1, len(sym) - 1)
-            left, right = sym[at], sym[nxt]
-            key = left * self.n + right
-            key[(left < 0) | (right < 0) | (word[nxt] != word[at]) | (nxt == at)] = -1
-            return self.table.find(key)
+            return pair(sym[at], sym[nxt], (word[nxt] == word[at]) & (nxt != at))
 
         rank, merged = paired(np.arange(len(sym)))
         while len(sym):
             starts = np.r_[0, np.flatnonzero(word[1:] != word[:-1]) + 1]
-            best = np.minimum.reduceat((rank << 32) | np.arange(len(sym)), starts)
-            going = (best >> 32) < NONE
-            pos = best & 0xFFFFFFFF
+            sizes = np.diff(np.r_[starts, len(sym)])
+            best = np.minimum.reduceat(rank, starts)
+            going = best < NONE
             if not going.all():
-                keep = np.repeat(going, np.diff(np.r_[starts, len(sym)]))
+                keep = np.repeat(going, sizes)
                 done.append((word[~keep], sym[~keep]))
-                pos = pos[going] - np.cumsum(~keep)[pos[going]]
                 sym, word, rank, merged = sym[keep], word[keep], rank[keep], merged[keep]
-            if not len(pos):
+                best, sizes = best[going], sizes[going]
+            if not len(sym):
                 break
+            # every other position of a run of best pairs, from its left
+            hit = np.flatnonzero(rank == np.repeat(best, sizes))
+            run = np.r_[True, (hit[1:] != hit[:-1] + 1) | (word[hit[1:]] != word[hit[:-1]])]
+            first = hit[np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))]
+            pos = hit[(hit - first) % 2 == 0]
+            pos = pos[self.in_order(pos, sym, word, rank, merged, pair)]
             sym[pos] = merged[pos]
             keep = np.ones(len(sym), bool)
             keep[pos + 1] = False
@@ -153,32 +159,27 @@ class PieceModel:
         order = np.argsort(word, kind="stable")
         return sym[order], word[order]
 
-    def heap(self, sym: list[int]) -> list[int]:
-        """The same merges of one long segment from a priority queue over linked symbols."""
-        n, pairs = len(sym), self.pairs
-        nxt, prev, queue = list(range(1, n + 1)), list(range(-1, n - 1)), []
-
-        def add(i: int) -> None:
-            j = nxt[i]
-            if j < n and sym[i] >= 0 and sym[j] >= 0 and (p := pairs.get(sym[i] * self.n + sym[j])):
-                heapq.heappush(queue, (p[0], i, sym[i], sym[j], j, p[1]))
-
-        for i in range(n):
-            if i + 1 < n:
-                add(i)
-        gone = bytearray(n)
-        while queue:
-            _, i, a, b, j, m = heapq.heappop(queue)
-            if gone[i] or gone[j] or nxt[i] != j or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], gone[j] = m, 1
-            nxt[i] = nxt[j]
-            if nxt[j] < n:
-                prev[nxt[j]] = i
-            add(i)
-            if prev[i] >= 0:
-                add(prev[i])
-        return [s for s, g in zip(sym, gone, strict=True) if not g]
+    @staticmethod
+    def in_order(pos: np.ndarray, sym: np.ndarray, word: np.ndarray, rank: np.ndarray, merged: np.ndarray, pair) -> np.ndarray:
+        """Which merges of a round go: a segment's, from the left, up to one that forms a pair of the same or a better rank."""
+        w = word[pos]
+        new = np.r_[True, w[1:] != w[:-1]]
+        go = np.ones(len(pos), bool)
+        some = np.flatnonzero(~new | np.r_[~new[1:], False])  # merges of segments with several
+        if not len(some):
+            return go
+        p = pos[some]
+        before = np.maximum(p - 1, 0)
+        joined = np.r_[False, p[1:] == p[:-1] + 2] & ~new[some]  # the symbol before has just been merged
+        left = np.where(joined, np.r_[0, merged[p[:-1]]], sym[before])
+        after = np.minimum(p + 2, len(sym) - 1)
+        a, _ = pair(left, merged[p], (p > 0) & (word[before] == word[p]))
+        b, _ = pair(merged[p], sym[after], (after == p + 2) & (word[after] == word[p]))
+        stops = np.minimum(a, b) <= rank[p]
+        ended = np.cumsum(stops) - stops  # stops before each
+        begin = np.maximum.accumulate(np.where(new[some], np.arange(len(some)), 0))
+        go[some] = ended == ended[begin]
+        return go
 
     # ------------------------------------------------------------ encode, decode
 
@@ -189,13 +190,13 @@ class PieceModel:
         sym = self.symbol_of[code]
         sym = np.where(sym < 0, -1 - code, sym)  # a character in no piece never merges
         word = np.repeat(np.arange(len(segments)), sizes)
-        long = np.flatnonzero(sizes > LONG)
-        short = ~np.isin(word, long)
-        sym_parts, word_parts = zip(self.rounds(sym[short], word[short]), *((np.array(self.heap(sym[word == k].tolist()), np.int64), k) for k in long.tolist()), strict=True)
-        sym = np.concatenate(sym_parts)
-        word = np.concatenate([np.full(len(x), w) if np.ndim(w) == 0 else w for x, w in zip(sym_parts, word_parts, strict=True)])
-        order = np.argsort(word, kind="stable")
-        sym, word = sym[order], word[order]
+        key = sym[:-1] * self.n_chars + sym[1:]
+        k = np.minimum(np.searchsorted(self.beside, key), max(0, len(self.beside) - 1))
+        whole = (word[1:] == word[:-1]) & (sym[:-1] >= 0) & (sym[1:] >= 0) & (self.beside[k] == key if len(self.beside) else False)
+        part = np.cumsum(np.r_[0, ~whole])[: len(sym)]
+        of = word[np.flatnonzero(np.r_[True, ~whole])] if len(sym) else word
+        sym, part = self.rounds(sym, part)
+        word = of[part]
         ids = np.where(sym < 0, -1, self.id_of[np.maximum(sym, 0)])
         bad = np.flatnonzero(ids < 0)
         if len(bad):  # bytes in place of characters that have no piece
@@ -214,46 +215,37 @@ class PieceModel:
     def split(self, text: str) -> list[str]:
         return self.segment.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def learn(self, segments: set[str]) -> dict[str, str]:
-        """Remember the decimal ids of all these segments; returns where they are.
+    def learn(self, segments: set[str]) -> None:
+        """Remember the decimal ids of all these segments, and what these ids decode to.
 
-        What a segment decodes to is checked here: nearly all decode to themselves, the rest goes to
-        ``odd``. Once the new generation is full it becomes the old one, so segments in use stay.
+        Once the new generation is full it becomes the old one, so segments in use stay.
         """
         if len(self.new) > CACHED:
-            self.old, self.new, self.odd = self.new, {}, {}
+            self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        missing = [x for x in segments if x not in new]
         fresh = []
-        for x in missing:
-            ids = old.get(x)
-            if ids is None:
-                fresh.append(x)
-            else:
-                new[x] = ids
-        fresh = [x for x in fresh if x]
+        for x in segments:
+            if x and x not in new:
+                known = old.get(x)
+                if known is None:
+                    fresh.append(x)
+                else:
+                    new[x] = known
         for at in range(0, len(fresh), 50_000):
             part = fresh[at : at + 50_000]
             ids, word = self.encode_flat(part)
-            cut = np.searchsorted(word, np.arange(len(part) + 1)).tolist()
+            cut = np.searchsorted(word, np.arange(len(part) + 1))
+            surface = b"".join([self.surface[i] for i in ids.tolist()])
+            edge = np.r_[0, np.cumsum(self.surface_size[ids])][cut].tolist()
+            cut = cut.tolist()
             text = [self.id_text[i] for i in ids.tolist()]
             for k, x in enumerate(part):
-                new[x] = ",".join(text[cut[k] : cut[k + 1]])
-            want = [x.replace(SPACE, " ").encode() for x in part]
-            same = np.add.reduceat(self.surface_size[ids], cut[:-1]) == [len(x) for x in want]
-            if not same.all() or b"".join([self.surface[i] for i in ids.tolist()]) != b"".join(want):
-                for k, x in enumerate(part):
-                    got = b"".join([self.surface[i] for i in ids[cut[k] : cut[k + 1]].tolist()])
-                    if got != want[k]:
-                        self.odd[x] = got.decode(errors="replace")
-        return new
+                new[x] = ",".join(text[cut[k] : cut[k + 1]]), surface[edge[k] : edge[k + 1]].decode(errors="replace")
 
     def encode_text(self, segments: list[str]) -> tuple[str, str]:
         """Decimal ids of a split and learnt text, and what they decode to."""
-        new, odd = self.new, self.odd
-        ids = ",".join([new[x] for x in segments])
-        text = "".join([odd.get(x) or x.replace(SPACE, " ") for x in segments] if odd else segments).replace(SPACE, " ")
-        return ids, text.removeprefix(" ")
+        known = list(map(self.new.__getitem__, segments))
+        return ",".join([x[0] for x in known]), "".join([x[1] for x in known]).removeprefix(" ")
 
     def encode(self, text: str) -> list[int]:
         segments = self.split(text)
