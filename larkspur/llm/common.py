@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +54,24 @@ def materialize(df: DataFrame, what: str, *, codec: str = "zstd", partition_by:
     df.write.option("compression", codec).partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._larkspur_path = path
+    for tables in _recording:
+        tables.append(out)
     return out
 
 
+_recording: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded(tables: list[DataFrame]) -> Iterator[None]:
+    """Note in ``tables`` what ``materialize`` writes meanwhile."""
+    _recording.append(tables)
+    try:
+        yield
+    finally:
+        _recording.remove(tables)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing will read it any more."""
     for df in tables:

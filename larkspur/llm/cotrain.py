@@ -216,18 +216,19 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 META = LANGS + SOURCES + 2
+TEXT = NGRAMS + 19
 
 
 def _features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Both views of a batch, in the precision that the feature table keeps."""
-    xt = np.array([np.r_[ngram_features(t), text_features(t)] for t in texts(b)], np.float16).reshape(b.num_rows, -1)
+    xt = np.array([np.r_[ngram_features(t), text_features(t)] for t in texts(b)], np.float16).reshape(b.num_rows, TEXT)
     meta = zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("n_chars").to_pylist(), strict=True)
     return xt, np.array([meta_features(*m) for m in meta], np.float16).reshape(b.num_rows, META)
 
 
 def _views(t: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     xt, xm = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<f2") for c in ("xt", "xm"))
-    return xt.reshape(t.num_rows, -1).astype(np.float32), xm.reshape(t.num_rows, META).astype(np.float32)
+    return xt.reshape(t.num_rows, TEXT).astype(np.float32), xm.reshape(t.num_rows, META).astype(np.float32)
 
 
 def features(docs: DataFrame) -> DataFrame:
