@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 METRICS = ("euclidean", "cosine", "ip")
 CELLS = 1 << 22  #: distances held at once
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A list column as a float64 matrix; all rows must have one length and no nulls."""
+    """A list column as a float64 matrix; rows of different lengths, null rows and null components raise."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
     if n == 0:
         return np.zeros((0, 0))
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(flat) % n or column.null_count:
-        raise ValueError("vectors must not be null and must have one dimension")
-    return flat.reshape(n, -1)
+    size = pc.min_max(pc.list_value_length(column)).as_py()
+    flat = column.flatten()
+    if column.null_count or flat.null_count or size["min"] != size["max"]:
+        raise ValueError("vectors must not be or hold null and must have one dimension")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
 def check_metric(metric: str) -> None:

@@ -24,23 +24,31 @@ MOST_BUCKETS = 1 << 20
 class Router(Protocol):
     n_partitions: int
 
-    def assign(self, vectors: DataFrame) -> DataFrame: ...
+    def assign(self, vectors: DataFrame, carry: bool = False) -> DataFrame: ...
 
-    def ingest(self, vectors: DataFrame) -> DataFrame: ...
+    def ingest(self, vectors: DataFrame, carry: bool = False) -> DataFrame: ...
 
     def probe(self, queries: DataFrame, nprobe: int) -> DataFrame: ...
 
 
-def _rows(df: DataFrame, key: str, value: str, kernel, schema: str) -> DataFrame:
-    """Apply ``kernel(ids, matrix) -> dict of columns`` to batches of (key, value)."""
+def _rows(df: DataFrame, key: str, value: str, kernel, schema: str, carry: bool = False) -> DataFrame:
+    """Apply ``kernel(ids, matrix) -> dict of columns`` to batches of (key, value).
+
+    With ``carry`` the value goes along: the kernel then gives the row of the batch that each of its rows is from.
+    """
     importable(df.sparkSession)
+    base = df.select(F.col(key).cast("long").alias(key), value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_pydict(kernel(b.column(0).to_numpy(), matrix(b.column(1))))
+                out = kernel(b.column(0).to_numpy(), matrix(b.column(1)))
+                at = out.pop("row", None)
+                if carry:
+                    out[value] = b.column(1).take(pa.array(at))
+                yield pa.RecordBatch.from_pydict(out)
 
-    return df.select(F.col(key).cast("long").alias(key), value).mapInArrow(run, schema)
+    return base.mapInArrow(run, schema + (f", {value} {base.schema[value].dataType.simpleString()}" if carry else ""))
 
 
 class CentroidRouter:
@@ -53,17 +61,18 @@ class CentroidRouter:
             raise ValueError("centroids must be a matrix with a row for each partition")
         self.centroids, self.metric, self.n_partitions = centroids, metric, len(centroids)
 
-    def assign(self, vectors: DataFrame) -> DataFrame:
+    def assign(self, vectors: DataFrame, carry: bool = False) -> DataFrame:
+        """vec_id, partition_id, distance of every row; ``carry`` adds its embedding."""
         c, metric = self.centroids, self.metric
 
         def kernel(ids: np.ndarray, x: np.ndarray) -> dict:
             p, d = nearest(x, c, metric)
-            return {"vec_id": ids, "partition_id": p.astype(np.int64), "distance": d}
+            return {"vec_id": ids, "partition_id": p.astype(np.int64), "distance": d, "row": np.arange(len(ids))}
 
-        return _rows(vectors, "vec_id", "embedding", kernel, "vec_id long, partition_id long, distance double")
+        return _rows(vectors, "vec_id", "embedding", kernel, "vec_id long, partition_id long, distance double", carry)
 
-    def ingest(self, vectors: DataFrame) -> DataFrame:
-        return self.assign(vectors).drop("distance")
+    def ingest(self, vectors: DataFrame, carry: bool = False) -> DataFrame:
+        return self.assign(vectors, carry).drop("distance")
 
     def probe(self, queries: DataFrame, nprobe: int) -> DataFrame:
         c, metric, n = self.centroids, self.metric, max(0, min(nprobe, self.n_partitions))
@@ -133,21 +142,22 @@ class HashRouter:
 
         return _rows(df, key, value, kernel, f"{key} long, table int, code long")
 
-    def assign(self, vectors: DataFrame) -> DataFrame:
-        """The first table's partition alone."""
-        return self._placed(vectors, False)
+    def assign(self, vectors: DataFrame, carry: bool = False) -> DataFrame:
+        """The first table's partition alone; ``carry`` adds the embedding."""
+        return self._placed(vectors, False, carry)
 
-    def ingest(self, vectors: DataFrame) -> DataFrame:
-        """A row for each different partition among the tables' buckets."""
-        return self._placed(vectors, True)
+    def ingest(self, vectors: DataFrame, carry: bool = False) -> DataFrame:
+        """A row for each different partition among the tables' buckets; ``carry`` adds the embedding."""
+        return self._placed(vectors, True, carry)
 
-    def _placed(self, vectors: DataFrame, replicas: bool) -> DataFrame:
+    def _placed(self, vectors: DataFrame, replicas: bool, carry: bool) -> DataFrame:
         def kernel(ids: np.ndarray, x: np.ndarray) -> dict:
             p = self.bucket_partitions(self.code_matrix(x) if replicas else self.code_matrix(x)[:1])
             new = np.array([[(p[:t, i] != p[t, i]).all() for i in range(len(ids))] for t in range(len(p))], bool)
-            return {"vec_id": np.tile(ids, len(p))[new.ravel()], "partition_id": p.ravel()[new.ravel()].astype(np.int64)}
+            new = new.ravel()
+            return {"vec_id": np.tile(ids, len(p))[new], "partition_id": p.ravel()[new].astype(np.int64), "row": np.tile(np.arange(len(ids)), len(p))[new]}
 
-        return _rows(vectors, "vec_id", "embedding", kernel, "vec_id long, partition_id long")
+        return _rows(vectors, "vec_id", "embedding", kernel, "vec_id long, partition_id long", carry)
 
     def choose(self, codes: np.ndarray, nprobe: int) -> list[tuple[int, int]]:
         """Partitions for a query with one code a table, nearest first, as (distance, partition).
@@ -184,7 +194,9 @@ class HashRouter:
 
 
 def hash_probe_table(codes: DataFrame, bits: int, n_partitions: int, nprobe: int) -> DataFrame:
-    """(qid, rank, partition_id, distance) of one table's query codes (qid, code), as joins alone."""
+    """(qid, rank, partition_id, distance) of one table's query codes (qid, code), as joins alone; at most MOST_BUCKETS buckets are sent to all tasks."""
+    if 1 << bits > MOST_BUCKETS or n_partitions > MOST_BUCKETS or nprobe < 0:
+        raise ValueError(f"there can be {MOST_BUCKETS} buckets and partitions at most, and no negative number of probes")
     spark = codes.sparkSession
     bucket = spark.range(1 << bits).select(F.col("id").alias("bucket"))
     where = bucket.withColumn("p", F.col("bucket") if 1 << bits == n_partitions else F.pmod("bucket", F.lit(n_partitions)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as V
@@ -195,7 +195,7 @@ def ivf_probe_all(spark: SparkSession, sf_dir: str, whole: bool = False) -> Data
 def _ivf(e: DataFrame, *nprobes: int, whole: bool = False) -> list[DataFrame]:
     """Search results at each nprobe; centroids are trained once and queries probed once."""
     router = routing.CentroidRouter(centroids(e))
-    rows = router.assign(e).drop("distance").join(e.select("vec_id", "embedding"), "vec_id")
+    rows = router.ingest(e, carry=True)
     probes = router.probe(asked(e, whole), max(nprobes))
     return [vlog.probed_knn(rows, asked(e, whole), probes.where(F.col("rank") <= p), K) for p in nprobes]
 
@@ -298,7 +298,7 @@ _LSH_PAIRS = f"SELECT qid, e.vec_id, {D2.format(a='qv', b='v')} AS d FROM lp JOI
 def lsh_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     e = embeddings(spark, sf_dir)
     router = routing.HashRouter(6, 64, BITS, planes=PLANES[None])
-    rows = router.assign(e).join(e.select("vec_id", "embedding"), "vec_id")
+    rows = router.assign(e, carry=True)
     return ranked(vlog.probed_knn(rows, asked(e, whole), router.probe(asked(e, whole), HASH_PROBES if whole else 2), K))
 
 
@@ -320,7 +320,7 @@ def mht_search_dedup(spark: SparkSession, sf_dir: str, whole: bool = False) -> D
     """All partitions are probed, so replicas meet and the result is that of exact search."""
     e = embeddings(spark, sf_dir)
     router = routing.HashRouter(6, 64, BITS, 3)
-    rows = router.ingest(e).join(e.select("vec_id", "embedding"), "vec_id")
+    rows = router.ingest(e, carry=True)
     return ranked(vlog.probed_knn(rows, asked(e, whole), router.probe(asked(e, whole), 6), K))
 
 
@@ -330,6 +330,26 @@ def mht_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.HashRouter(20, 64, BITS, 3).probe(asked(e, n=1 << 62), 5)
 
 
+_MHT_ALL = f"SELECT vec_id AS qid, bucket % 6 AS p, min(bit_count(xor(code, bucket))) AS d FROM ({_MHT}), (SELECT range AS bucket FROM range({1 << BITS})) GROUP BY vec_id, bucket % 6"
+
+
+@query("mht_probe_all", f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d, p)::INT AS rank, p AS partition_id, d::DOUBLE AS distance FROM ({_MHT_ALL})")
+def mht_probe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All partitions by their least distance over three tables."""
+    e = embeddings(spark, sf_dir)
+    return routing.HashRouter(6, 64, BITS, 3).probe(asked(e, n=1 << 62), 6)
+
+
+@query("repeated_ids_append", f"WITH {BASE}, {CENTROIDS}, {ASSIGN} SELECT vec_id, p AS partition_id, (row_number() OVER (PARTITION BY p, vec_id ORDER BY d))::BIGINT AS copy FROM (SELECT a.*, unnest([1, 2]) FROM a)")
+def repeated_ids_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that repeat an id are logged as often as they come."""
+    e = embeddings(spark, sf_dir)
+    engine = vlog.VectorLog(spark, workdir(spark, "repeats"), routing.CentroidRouter(centroids(e)))
+    engine.append(e.union(e), 0)
+    order = Window.partitionBy("partition_id", "vec_id").orderBy("log_offset")
+    return engine.log().select("vec_id", "partition_id", F.row_number().over(order).cast("long").alias("copy"))
+
+
 # ---------------------------------------------------------------- log, segments, both tiers
 
 
@@ -573,6 +593,12 @@ def index_ivfflat_search(spark: SparkSession, sf_dir: str, whole: bool = False)
     return _family(spark, sf_dir, IndexOptions("ivfflat", flat_up_to=16, lists=6, probes=6 if whole else 3), whole)
 
 
+@query("index_ivfflat_all_lists", f"WITH {BASE}, {CENTROIDS}, {PROBE}, {LOG} {top(_HYBRID)}")
+def index_ivfflat_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With all lists of the probed partitions the result is that of searching these partitions."""
+    return _family(spark, sf_dir, IndexOptions("ivfflat", flat_up_to=16, lists=6, probes=6), False)
+
+
 @search("index_ivfpq_search")
 def index_ivfpq_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     return _family(spark, sf_dir, IndexOptions("ivfpq", flat_up_to=16, lists=4, probes=4, pq_from=16, pq_bits=5), whole, 10 * K if whole else K)
@@ -622,7 +648,10 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine(spark, sf_dir, 2)[0].log().select("vec_id", "partition_id")
 
 
-@query("stream_seal_index")
+_SEALED_STREAM = "SELECT partition_id, 18 * k AS segment_id, 18 * k AS base, 18 * k + 18 AS \"end\", 18::BIGINT AS n, 'flat' AS family FROM (SELECT p AS partition_id, unnest(range((count(*) - 1) // 18)) AS k FROM a GROUP BY p)"
+
+
+@query("stream_seal_index", f"WITH {BASE}, {CENTROIDS}, {ASSIGN} {_SEALED_STREAM}")
 def stream_seal_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine(spark, sf_dir, 2)[0].manifest().select("partition_id", "segment_id", "base", "end", "n", "family")
 
@@ -652,6 +681,15 @@ def _vector_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return _long(spark.read.format(kind).option("split", "512").load(path))
 
 
+@query("fbin_shape", "SELECT count(*) AS n, max(len(embedding))::BIGINT AS dimension FROM embeddings")
+def fbin_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and dimension of the vectors of a file, from its header alone."""
+    e = embeddings(spark, sf_dir)
+    path = workdir(spark, "fbin")
+    files.write_vectors(e, path, "fbin", 1)
+    return spark.createDataFrame([tuple(int(x) for x in files.probe(files.members(path, "fbin")[0]))], "n long, dimension long")
+
+
 @query("fbin_scan", _rows_sql())
 def fbin_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector_files(spark, sf_dir, "fbin")

@@ -155,8 +155,11 @@ class VectorLog:
         return self._read("manifest", MANIFEST)
 
     def append(self, vectors: DataFrame, batch: int) -> None:
-        """Route a batch, give offsets after those of earlier batches, write it; repeating a batch changes nothing."""
-        placed = self.router.ingest(vectors).join(vectors.select("vec_id", "embedding"), "vec_id")
+        """Route a batch, give offsets after those of earlier batches, write it; repeating a batch changes nothing.
+
+        Every row is logged once for each of its partitions, rows that repeat a vec_id too.
+        """
+        placed = self.router.ingest(vectors, carry=True)
         heads = self.log().where(F.col("batch") < batch).groupBy("partition_id").agg((F.max("log_offset") + 1).alias("head"))
         rows = append_offsets(placed, heads)
         rows.select("partition_id", "log_offset", "vec_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(f"{self.root}/log/batch={batch}")
