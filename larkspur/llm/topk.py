@@ -13,7 +13,7 @@ group's rows are spread evenly whatever the data.
 Defined cases: a vector that is null, or holds a null or non-finite component, and a row with a null
 vec_id take no part; vectors of different lengths do not meet; every repeated candidate row is a row of
 its own, every repeated query id is one query (of the smallest vector); equal scores go to the smaller
-vec_id; components beyond 2^20 raise, as scores must stay exact.
+vec_id; components of any finite size are multiplied exactly, and a score beyond a long is held at its end.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ from larkspur.llm.common import materialize, partitions, tune
 LEVELS = (2, 8, 16)  #: segments of the bounds, coarse to fine
 QUERIES, CANDIDATES = 256, 2048  #: vectors in a block
 PAIRS = 1 << 15  #: pairs multiplied at a time
-LARGEST = 1 << 20
+TILE = (32, 256)  #: queries and candidates
+HELD = 1 << 22  #: best rows a task keeps before it passes those of a query block on
+LONGEST = (1 << 63) - 1
 
 
 def usable(embedding: Column) -> Column:
@@ -48,9 +50,8 @@ def _pack(size: int):
             rows = held.pop(dim)
             ids = np.array([r[0] for r in rows], np.int64)
             mat = np.floor(np.array([r[1] for r in rows], np.float64).reshape(len(rows), dim) * 256)
-            if mat.size and np.abs(mat).max() > LARGEST * 256:
-                raise ValueError(f"a component is beyond {LARGEST}")
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(rows)], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([mat.astype(np.int64).astype("<i4").tobytes()], pa.binary())})
+            kind = "<i4" if not mat.size or np.abs(mat).max() < 1 << 31 else "<f8"  # whole numbers in either
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(rows)], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([mat.astype(kind).tobytes()], pa.binary())})
 
         for b in batches:
             for i, v in zip(b.column("vec_id").to_pylist(), b.column("v").to_pylist(), strict=True):
@@ -86,28 +87,42 @@ def pair_products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return out
 
 
+def tile_products(a: np.ndarray, b: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of a and b, in the tiles that hold a pair that is alive; 0 elsewhere."""
+    out = np.zeros(alive.shape, np.result_type(a, b))
+    for r in range(0, alive.shape[0], TILE[0]):
+        for c in range(0, alive.shape[1], TILE[1]):
+            cell = slice(r, r + TILE[0]), slice(c, c + TILE[1])
+            if alive[cell].any():
+                out[cell] = a[cell[0]] @ b[cell[1]].T
+    return out
+
+
+def exact_forms(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as the fastest of float64, int64 and Python's integers in which their products are exact."""
+    most = int(np.abs(q).max()) * int(np.abs(x).max()) * q.shape[1] if q.size and x.size else 0
+    if most < 1 << 53:
+        return np.asarray(q, np.float64), np.asarray(x, np.float64)
+    if most < 1 << 63:
+        return q.astype(np.int64), x.astype(np.int64)
+    return tuple(np.array([[int(v) for v in row] for row in m.tolist()], object).reshape(m.shape) for m in (q, x))
+
+
 def search_block(qids: np.ndarray, q: np.ndarray, xids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query its (scores, ids) that can be among the k best, given that ``floor`` is reached elsewhere."""
-    qf, xf = q.astype(np.float64), x.astype(np.float64)
+    qf, xf = np.asarray(q, np.float64), np.asarray(x, np.float64)
     qn, xn = (qf * qf).sum(1), (xf * xf).sum(1)
     slack = 1e-9 * (qn[:, None] + xn[None, :]) + 1e-6
     floor = floor.copy()
     own = qids[:, None] == xids[None, :]
     alive = ~own
 
-    # scores below 2^53 are exact as floats, which multiply faster
-    small = q.size == 0 or x.size == 0 or float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53
-    qe, xe = (qf, xf) if small else (q, x)
+    qe, xe = exact_forms(q, x)
 
     for level, segments in enumerate(LEVELS):
         a, b = statistics(qf, segments), statistics(xf, segments)
-        if level == 0 or alive.mean() > 0.25:
-            bound = (a @ b.T) + slack  # (|q|^2 + |x|^2 - lower bound of the distance) / 2
-            bound[~alive] = -np.inf
-        else:
-            i, j = np.nonzero(alive)
-            bound = np.full(alive.shape, -np.inf)
-            bound[i, j] = pair_products(a, b, i, j) + slack[i, j]
+        bound = tile_products(a, b, alive) + slack  # (|q|^2 + |x|^2 - lower bound of the distance) / 2
+        bound[~alive] = -np.inf
         # the candidates with the best bounds raise the floor
         m = min(k, bound.shape[1])
         top = np.argpartition(-bound, m - 1, axis=1)[:, :m]
@@ -116,34 +131,51 @@ def search_block(qids: np.ndarray, q: np.ndarray, xids: np.ndarray, x: np.ndarra
         s[~np.take_along_axis(alive, top, 1)] = -np.inf
         if m == k:
             floor = np.maximum(floor, s.min(1))
-        alive &= bound >= floor[:, None]
+        alive &= ~(bound < np.minimum(floor, LONGEST - 2048)[:, None])  # scores held at a long's end tie
     i, j = np.nonzero(alive)
-    score = (qe @ xe.T)[i, j] if alive.mean() > 0.1 else pair_products(qe, xe, i, j)
-    score = score.astype(np.int64)
+    score = tile_products(qe, xe, alive)[i, j]
+    score = np.array([max(-LONGEST - 1, min(LONGEST, s)) for s in score.tolist()], np.int64) if score.dtype == object else score.astype(np.int64)
     out = []
     cuts = np.searchsorted(i, np.arange(len(q) + 1))
     for r in range(len(q)):
         s, ids = score[cuts[r] : cuts[r + 1]], xids[j[cuts[r] : cuts[r + 1]]]
-        best = np.lexsort((ids, -s))[:k]
+        best = np.lexsort((ids, -np.maximum(s, -LONGEST)))[:k]
         out.append((s[best], ids[best]))
     return out
 
 
+def _vectors(data: bytes, n: int, dim: int) -> np.ndarray:
+    kind = "<f8" if len(data) == 8 * n * dim and dim else "<i4"
+    return np.frombuffer(data, kind).reshape(n, dim)
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[np.ndarray]] = {}  # best scores of each query block so far in this task
+        #: of each query block, the k best (score, id) of its queries in this task, the block used last at the end
+        best: dict[bytes, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def rows(block: bytes) -> pa.RecordBatch:
+            found = best.pop(block)
+            qids = np.repeat(np.frombuffer(block, "<i8"), [len(f[0]) for f in found])
+            return pa.RecordBatch.from_pydict({"query_id": qids, "vec_id": np.concatenate([f[1] for f in found]).astype(np.int64), "score": np.concatenate([f[0] for f in found]).astype(np.int64)})
+
         for b in batches:
             for r in b.to_pylist():
-                qids, q = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_matrix"], "<i4").reshape(r["q_n"], -1).astype(np.int64)
-                xids, x = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["matrix"], "<i4").reshape(r["n"], -1).astype(np.int64)
-                best = seen.get(r["q_ids"], [np.zeros(0)] * len(qids))
-                if len(seen) > 64:
-                    seen.clear()
-                floor = np.array([s[-1] if len(s) == k else -np.inf for s in best])
+                qids, xids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
+                q, x = _vectors(r["q_matrix"], r["q_n"], r["dim"]), _vectors(r["matrix"], r["n"], r["dim"])
+                so_far = best.pop(r["q_ids"], [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(qids))
+                floor = np.array([s[-1] if len(s) == k else -np.inf for s, _ in so_far])
                 found = search_block(qids, q, xids, x, k, floor)
-                seen[r["q_ids"]] = [np.sort(np.r_[s, f[0]])[::-1][:k] for s, f in zip(best, found, strict=True)]
-                n = [len(f[0]) for f in found]
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(qids, n), "vec_id": np.concatenate([f[1] for f in found]).astype(np.int64), "score": np.concatenate([f[0] for f in found]).astype(np.int64)})
+                merged = []
+                for (s, i), (t, j) in zip(so_far, found, strict=True):
+                    s, i = np.r_[s, t], np.r_[i, j]
+                    order = np.lexsort((i, -np.maximum(s, -LONGEST)))[:k]
+                    merged.append((s[order], i[order]))
+                best[r["q_ids"]] = merged
+                while len(best) > max(1, HELD // (QUERIES * max(1, k))):
+                    yield rows(next(iter(best)))
+        for block in list(best):
+            yield rows(block)
 
     return run
 
