@@ -319,10 +319,11 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verify(store: Store) -> DataFrame:
-    """Manifest rows whose Merkle root, ids or documents the recipes do not give; none if all is well."""
-    again = _shard_roots(store.recipes).select("shard", F.col("root").alias("r"), F.col("n_tokens").alias("n"), F.col("n_docs").alias("d"))
+    """Manifest rows whose Merkle root, ids, documents or start the recipes do not give; none if all is well."""
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+    again = _shard_roots(store.recipes).select("shard", F.col("root").alias("r"), F.col("n_tokens").alias("n"), F.col("n_docs").alias("d"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("s"))
     both = store.manifest.join(again, "shard", "full_outer")
-    return both.where(~(F.col("root").eqNullSafe(F.col("r")) & F.col("n_tokens").eqNullSafe(F.col("n")) & F.col("n_docs").eqNullSafe(F.col("d")))).select("shard")
+    return both.where(~(F.col("root").eqNullSafe(F.col("r")) & F.col("n_tokens").eqNullSafe(F.col("n")) & F.col("n_docs").eqNullSafe(F.col("d")) & F.col("start").eqNullSafe(F.col("s")))).select("shard")
 
 
 def read_digests(store: Store) -> DataFrame:
