@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from larkspur.llm.common import tune
 
 SPACE = "▁"
-CACHED = 250_000  #: segments a generation of a Python worker's memory holds
+CACHED = 100_000  #: segments a generation of a Python worker's memory holds
 NONE = np.int64(1 << 30)
 
 
@@ -242,6 +242,10 @@ class PieceModel:
             for k, x in enumerate(part):
                 new[x] = ",".join(text[cut[k] : cut[k + 1]]), surface[edge[k] : edge[k + 1]].decode(errors="replace")
 
+    def forget(self) -> None:
+        """Empty the memory: an idle Python worker would hold it while other stages run."""
+        self.old, self.new = {}, {}
+
     def encode_text(self, segments: list[str]) -> tuple[str, str]:
         """Decimal ids of a split and learnt text, and what they decode to."""
         known = list(map(self.new.__getitem__, segments))
@@ -267,23 +271,26 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = (), wit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in batches:
-            split = [m.split(t or "") for t in b.column("text").to_pylist()]
-            m.learn(set().union(*split))
-            n, ids_hash, text_hash, all_ids = [], [], [], []
-            for segments in split:
-                ids, text = m.encode_text(segments)
-                n.append(ids.count(",") + 1 if ids else 0)
-                ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_hash.append(hashlib.sha256(text.encode()).hexdigest())
+        try:
+            for b in batches:
+                split = [m.split(t or "") for t in b.column("text").to_pylist()]
+                m.learn(set().union(*split))
+                n, ids_hash, text_hash, all_ids = [], [], [], []
+                for segments in split:
+                    ids, text = m.encode_text(segments)
+                    n.append(ids.count(",") + 1 if ids else 0)
+                    ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
+                    text_hash.append(hashlib.sha256(text.encode()).hexdigest())
+                    if with_ids:
+                        all_ids.append(np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
+                cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    all_ids.append(np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
-            cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols + [b.column(c) for c in keep], names + list(keep))
+                    cols.append(pa.array(all_ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols + [b.column(c) for c in keep], names + list(keep))
+        finally:
+            m.forget()
 
     base = docs.select("doc_id", "text", *keep)
     kinds = ["doc_id long", "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *["ids array<int>"] * with_ids, *(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in keep)]
