@@ -23,9 +23,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-K, ASKED, LISTS, BITS = 10, 10, 10, 4
+K, LISTS, BITS = 10, 10, 4
 EVERY = 50
-PROBES, HASH_PROBES = 9, 5  #: of 10 centroids and of 6 hash partitions; recall of the searches _every50 is tested at 0.9
+PROBES, HASH_PROBES = 9, 5  #: of 10 centroids and of 6 hash partitions; recall of the searches is tested at 0.9
 PLANES = routing.hyperplanes(64, BITS)
 TABLES = routing.hyperplanes(64, BITS, 42, 3)
 SCALED = "list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 7))"
@@ -50,19 +50,18 @@ def scaled(e: DataFrame) -> DataFrame:
     return e.withColumn("embedding", F.transform(V.doubles(F.col("embedding")), lambda x: x * (1 + F.col("vec_id") % 7)))
 
 
-def search(name: str, sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
-    """Two queries: ``name`` asks the vectors of its SQL, ``name``_every50 (too slow in SQL) asks all rows with vec_id % 50 = 0."""
+def search(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """A query that asks all rows with vec_id % 50 = 0; its former second name ``name``_every50 stays, for the same query."""
 
-    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        query(name, sql)(f)
-        QUERIES[f"{name}_every50"] = lambda spark, sf_dir: f(spark, sf_dir, True)
-        return f
+    def add(f: Query) -> Query:
+        QUERIES[f"{name}_every50"] = f
+        return query(name, sql)(f)
 
     return add
 
 
-def asked(e: DataFrame, whole: bool = False, n: int = ASKED) -> DataFrame:
-    return e.where(F.col("vec_id") % EVERY == 0 if whole else F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+def asked(e: DataFrame, every: int = EVERY) -> DataFrame:
+    return e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
 
 
 def r6(c: Column | str, name: str = "distance") -> Column:
@@ -79,7 +78,7 @@ def ranked(df: DataFrame) -> DataFrame:
 D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
 NORM = "sqrt(list_sum(list_transform({a}, lambda x: x * x)))"
-BASE = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS qid, v AS qv FROM e WHERE vec_id < 10)"
+BASE = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS qid, v AS qv FROM e WHERE vec_id % 50 = 0)"
 CENTROIDS = "c AS (SELECT label::BIGINT AS p, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY label, i) GROUP BY label)"
 ASSIGN = f"a AS (SELECT vec_id, p, d FROM (SELECT vec_id, p, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, p) AS r FROM (SELECT vec_id, p, {D2.format(a='v', b='c')} AS d FROM e, c)) WHERE r = 1)"
 PROBE = f"pr AS (SELECT qid, p, d, row_number() OVER (PARTITION BY qid ORDER BY d, p) AS r FROM (SELECT qid, p, {D2.format(a='qv', b='c')} AS d FROM q, c))"
@@ -97,29 +96,29 @@ PAIRS = f"SELECT qid, vec_id, {D2.format(a='qv', b='v')} AS d FROM q, e"
 
 
 @search("exact_knn_l2", f"WITH {BASE} {top(PAIRS)}")
-def exact_knn_l2(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def exact_knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    return ranked(knn.exact_knn(e, asked(e, whole), K))
+    return ranked(knn.exact_knn(e, asked(e), K))
 
 
-_COSINE = f"WITH e AS (SELECT vec_id, {SCALED} AS v FROM embeddings), q AS (SELECT vec_id AS qid, v AS qv FROM e WHERE vec_id < 10) "
+_COSINE = f"WITH e AS (SELECT vec_id, {SCALED} AS v FROM embeddings), q AS (SELECT vec_id AS qid, v AS qv FROM e WHERE vec_id % 50 = 0) "
 _COSINE += top(f"SELECT qid, vec_id, round(1 - {DOT.format(a='v', b='qv')} / ({NORM.format(a='v')} * {NORM.format(a='qv')}), 12) AS d FROM q, e", distance="d")
 
 
 @search("exact_knn_cosine", _COSINE)
-def exact_knn_cosine(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def exact_knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = scaled(embeddings(spark, sf_dir))
-    return ranked(knn.exact_knn(e, asked(e, whole), K, "cosine"))
+    return ranked(knn.exact_knn(e, asked(e), K, "cosine"))
 
 
-_IP = f"WITH e AS (SELECT vec_id, {SCALED} AS v FROM embeddings), q AS (SELECT vec_id AS qid, v AS qv FROM e WHERE vec_id < 10) "
+_IP = f"WITH e AS (SELECT vec_id, {SCALED} AS v FROM embeddings), q AS (SELECT vec_id AS qid, v AS qv FROM e WHERE vec_id % 50 = 0) "
 _IP += f"SELECT qid, rank::INT AS rank, vec_id, round(s, 6) + 0.0 AS score FROM (SELECT qid, vec_id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id) AS rank FROM (SELECT qid, vec_id, {DOT.format(a='v', b='qv')} AS s FROM q, e)) WHERE rank <= 10"
 
 
 @search("exact_knn_ip", _IP)
-def exact_knn_ip(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def exact_knn_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = scaled(embeddings(spark, sf_dir))
-    return knn.exact_knn(e, asked(e, whole), K, "ip").select("qid", "rank", "vec_id", r6(-F.col("distance"), "score"))
+    return knn.exact_knn(e, asked(e), K, "ip").select("qid", "rank", "vec_id", r6(-F.col("distance"), "score"))
 
 
 @query("vector_norms", f"SELECT vec_id, round({NORM.format(a='v')}, 6) AS norm FROM (SELECT vec_id, {SCALED} AS v FROM embeddings)")
@@ -134,10 +133,10 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @search("l2_expression", f"WITH {BASE} SELECT qid, vec_id, round(sqrt({D2.format(a='qv', b='v')}), 6) + 0.0 AS distance FROM q, e")
-def l2_expression(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def l2_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir).select("vec_id", V.doubles(F.col("embedding")).alias("v"))
-    q = asked(e.withColumnRenamed("v", "embedding"), whole)
-    return e.crossJoin(q if whole else F.broadcast(q)).select("qid", "vec_id", r6(V.l2(F.col("v"), F.col("qv"))))
+    q = asked(e.withColumnRenamed("v", "embedding"))
+    return e.crossJoin(q).select("qid", "vec_id", r6(V.l2(F.col("v"), F.col("qv"))))
 
 
 # ---------------------------------------------------------------- centroid routing
@@ -177,35 +176,35 @@ def _probe_sql(n: int) -> str:
     return f"WITH {BASE}, {CENTROIDS}, {PROBE} SELECT qid, r::INT AS rank, p AS partition_id, round(sqrt(d), 6) AS distance FROM pr WHERE r <= {n}"
 
 
-def _probe(spark: SparkSession, sf_dir: str, n: int, whole: bool) -> DataFrame:
+def _probe(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    return routing.CentroidRouter(centroids(e)).probe(asked(e, whole), n).select("qid", "rank", "partition_id", r6("distance"))
+    return routing.CentroidRouter(centroids(e)).probe(asked(e), n).select("qid", "rank", "partition_id", r6("distance"))
 
 
 @search("ivf_probe", _probe_sql(3))
-def ivf_probe(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _probe(spark, sf_dir, 3, whole)
+def ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _probe(spark, sf_dir, 3)
 
 
 @search("ivf_probe_all", _probe_sql(10))
-def ivf_probe_all(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _probe(spark, sf_dir, 99, whole)
+def ivf_probe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _probe(spark, sf_dir, 99)
 
 
-def _ivf(e: DataFrame, *nprobes: int, whole: bool = False) -> list[DataFrame]:
+def _ivf(e: DataFrame, *nprobes: int) -> list[DataFrame]:
     """Search results at each nprobe; centroids are trained once and queries probed once."""
     router = routing.CentroidRouter(centroids(e))
     rows = router.ingest(e, carry=True)
-    probes = router.probe(asked(e, whole), max(nprobes))
-    return [vlog.probed_knn(rows, asked(e, whole), probes.where(F.col("rank") <= p), K) for p in nprobes]
+    probes = router.probe(asked(e), max(nprobes))
+    return [vlog.probed_knn(rows, asked(e), probes.where(F.col("rank") <= p), K) for p in nprobes]
 
 
 _IVF_PAIRS = f"SELECT qid, e.vec_id, {D2.format(a='qv', b='v')} AS d FROM pr JOIN a USING (p) JOIN e ON e.vec_id = a.vec_id JOIN q USING (qid) WHERE pr.r <= {{n}}"
 
 
-@search("ivf_search", f"WITH {BASE}, {CENTROIDS}, {ASSIGN}, {PROBE} {top(_IVF_PAIRS.format(n=3))}")
-def ivf_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return ranked(_ivf(embeddings(spark, sf_dir), PROBES if whole else 3, whole=whole)[0])
+@search("ivf_search", f"WITH {BASE}, {CENTROIDS}, {ASSIGN}, {PROBE} {top(_IVF_PAIRS.format(n=PROBES))}")
+def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(_ivf(embeddings(spark, sf_dir), PROBES)[0])
 
 
 def _recall_sql(n: int) -> str:
@@ -215,19 +214,19 @@ def _recall_sql(n: int) -> str:
 _RECALL = f"WITH {BASE}, {CENTROIDS}, {ASSIGN}, {PROBE}, truth AS ({top(PAIRS)}) "
 
 
-@search("ivf_recall_at_k", f"{_RECALL} SELECT qid, recall::DOUBLE AS recall FROM ({_recall_sql(3)})")
-def ivf_recall_at_k(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@search("ivf_recall_at_k", f"{_RECALL} SELECT qid, recall::DOUBLE AS recall FROM ({_recall_sql(PROBES)})")
+def ivf_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    return evaluate.recall(_ivf(e, PROBES if whole else 3, whole=whole)[0], knn.exact_knn(e, asked(e, whole), K), K)
+    return evaluate.recall(_ivf(e, PROBES)[0], knn.exact_knn(e, asked(e), K), K)
 
 
 @search("ivf_recall_by_nprobe", f"{_RECALL} SELECT nprobe, round(avg(recall), 6)::DOUBLE AS recall FROM ({' UNION ALL '.join(_recall_sql(n) for n in (1, 2, 4, 10))}) GROUP BY nprobe")
-def ivf_recall_by_nprobe(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def ivf_recall_by_nprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
     tried = (1, 2, 4, 10)
-    found = [f.withColumn("nprobe", F.lit(n)) for n, f in zip(tried, _ivf(e, *tried, whole=whole), strict=True)]
+    found = [f.withColumn("nprobe", F.lit(n)) for n, f in zip(tried, _ivf(e, *tried), strict=True)]
     both = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
-    truth = knn.exact_knn(e, asked(e, whole), K).select("qid", "vec_id", F.lit(1).alias("hit"))
+    truth = knn.exact_knn(e, asked(e), K).select("qid", "vec_id", F.lit(1).alias("hit"))
     hits = both.join(truth, ["qid", "vec_id"], "left").groupBy("nprobe").agg(F.count("hit").alias("hits"))
     return hits.select("nprobe", F.round(F.col("hits") / (F.lit(float(K)) * truth.select("qid").distinct().count()), 6).alias("recall"))
 
@@ -273,33 +272,33 @@ def lsh_assign_bijective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.HashRouter(16, 64, BITS, planes=PLANES[None]).assign(embeddings(spark, sf_dir))
 
 
-@search("lsh_hamming", f"WITH {CODES} SELECT q.vec_id AS qid, x.vec_id, bit_count(xor(q.code, x.code))::BIGINT AS distance FROM codes q, codes x WHERE q.vec_id < 10")
-def lsh_hamming(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@search("lsh_hamming", f"WITH {CODES} SELECT q.vec_id AS qid, x.vec_id, bit_count(xor(q.code, x.code))::BIGINT AS distance FROM codes q, codes x WHERE q.vec_id % 50 = 0")
+def lsh_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _codes(spark, sf_dir)
-    q = asked(c.withColumnRenamed("code", "embedding"), whole).withColumnRenamed("qv", "qcode")
-    return c.crossJoin(q if whole else F.broadcast(q)).select("qid", "vec_id", V.hamming(F.col("code"), F.col("qcode")).alias("distance"))
+    q = asked(c.withColumnRenamed("code", "embedding")).withColumnRenamed("qv", "qcode")
+    return c.crossJoin(q).select("qid", "vec_id", V.hamming(F.col("code"), F.col("qcode")).alias("distance"))
 
 
 def _lsh_probe_sql(partitions: int, n: int) -> str:
-    inner = f"SELECT vec_id AS qid, p AS partition_id, coalesce(min(bit_count(xor(code, b))), {BITS + 1})::BIGINT AS distance FROM codes CROSS JOIN range({partitions}) t(p) LEFT JOIN range({1 << BITS}) u(b) ON {'b' if partitions == 1 << BITS else f'b % {partitions}'} = p WHERE vec_id < 10 GROUP BY vec_id, p"
+    inner = f"SELECT vec_id AS qid, p AS partition_id, coalesce(min(bit_count(xor(code, b))), {BITS + 1})::BIGINT AS distance FROM codes CROSS JOIN range({partitions}) t(p) LEFT JOIN range({1 << BITS}) u(b) ON {'b' if partitions == 1 << BITS else f'b % {partitions}'} = p WHERE vec_id % 50 = 0 GROUP BY vec_id, p"
     return f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, partition_id)::INT AS rank, partition_id, distance FROM ({inner}) QUALIFY rank <= {n}"
 
 
 @search("lsh_probe", f"WITH {CODES} {_lsh_probe_sql(20, 20)}")
-def lsh_probe(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    q = asked(_codes(spark, sf_dir).withColumnRenamed("code", "embedding"), whole).withColumnRenamed("qv", "code")
+def lsh_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = asked(_codes(spark, sf_dir).withColumnRenamed("code", "embedding")).withColumnRenamed("qv", "code")
     return routing.hash_probe_table(q, BITS, 20, 20)
 
 
 _LSH_PAIRS = f"SELECT qid, e.vec_id, {D2.format(a='qv', b='v')} AS d FROM lp JOIN codes x ON x.code % 6 = lp.partition_id JOIN e ON e.vec_id = x.vec_id JOIN q USING (qid)"
 
 
-@search("lsh_search", f"WITH {BASE}, {CODES}, lp AS ({_lsh_probe_sql(6, 2)}) {top(_LSH_PAIRS)}")
-def lsh_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@search("lsh_search", f"WITH {BASE}, {CODES}, lp AS ({_lsh_probe_sql(6, HASH_PROBES)}) {top(_LSH_PAIRS)}")
+def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
     router = routing.HashRouter(6, 64, BITS, planes=PLANES[None])
     rows = router.assign(e, carry=True)
-    return ranked(vlog.probed_knn(rows, asked(e, whole), router.probe(asked(e, whole), HASH_PROBES if whole else 2), K))
+    return ranked(vlog.probed_knn(rows, asked(e), router.probe(asked(e), HASH_PROBES), K))
 
 
 _MHT = " UNION ALL ".join(f"SELECT vec_id, {t}::INT AS \"table\", code FROM ({_codes_sql(TABLES[t])})" for t in range(3))
@@ -316,18 +315,18 @@ def mht_ingest_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @search("mht_search_dedup", f"WITH {BASE} {top(PAIRS)}")
-def mht_search_dedup(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def mht_search_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All partitions are probed, so replicas meet and the result is that of exact search."""
     e = embeddings(spark, sf_dir)
     router = routing.HashRouter(6, 64, BITS, 3)
     rows = router.ingest(e, carry=True)
-    return ranked(vlog.probed_knn(rows, asked(e, whole), router.probe(asked(e, whole), 6), K))
+    return ranked(vlog.probed_knn(rows, asked(e), router.probe(asked(e), 6), K))
 
 
 @query("mht_probe")
 def mht_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    return routing.HashRouter(20, 64, BITS, 3).probe(asked(e, n=1 << 62), 5)
+    return routing.HashRouter(20, 64, BITS, 3).probe(asked(e, 1), 5)
 
 
 _MHT_ALL = f"SELECT vec_id AS qid, bucket % 6 AS p, min(bit_count(xor(code, bucket))) AS d FROM ({_MHT}), (SELECT range AS bucket FROM range({1 << BITS})) GROUP BY vec_id, bucket % 6"
@@ -337,7 +336,7 @@ _MHT_ALL = f"SELECT vec_id AS qid, bucket % 6 AS p, min(bit_count(xor(code, buck
 def mht_probe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All partitions by their least distance over three tables."""
     e = embeddings(spark, sf_dir)
-    return routing.HashRouter(6, 64, BITS, 3).probe(asked(e, n=1 << 62), 6)
+    return routing.HashRouter(6, 64, BITS, 3).probe(asked(e, 1), 6)
 
 
 @query("repeated_ids_append", f"WITH {BASE}, {CENTROIDS}, {ASSIGN} SELECT vec_id, p AS partition_id, (row_number() OVER (PARTITION BY p, vec_id ORDER BY d))::BIGINT AS copy FROM (SELECT a.*, unnest([1, 2]) FROM a)")
@@ -430,57 +429,56 @@ def _index(e: DataFrame, options: IndexOptions, rows: int = 20) -> tuple[DataFra
     return build_index(sealed, options), vlog.tail(log, vlog.start_offsets(log, vlog.committed_offsets(manifest))), log
 
 
-_HYBRID = f"SELECT qid, lg.vec_id, {D2.format(a='qv', b='v')} AS d FROM pr JOIN lg ON lg.partition_id = pr.p JOIN q USING (qid) WHERE pr.r <= 4"
+_HYBRID = f"SELECT qid, lg.vec_id, {D2.format(a='qv', b='v')} AS d FROM pr JOIN lg ON lg.partition_id = pr.p JOIN q USING (qid) WHERE pr.r <= {PROBES}"
 
 
 @search("hybrid_search", f"WITH {BASE}, {CENTROIDS}, {PROBE}, {LOG} {top(_HYBRID)}")
-def hybrid_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat indexes of the sealed segments and a scan of the tail, merged."""
     e = embeddings(spark, sf_dir)
     index, rest, _ = _index(e, IndexOptions())
-    probes = routing.CentroidRouter(centroids(e)).probe(asked(e, whole), PROBES if whole else 4)
-    both = search_index(index, asked(e, whole), probes, K, IndexOptions()).unionByName(vlog.probed_knn(rest, asked(e, whole), probes, K))
+    probes = routing.CentroidRouter(centroids(e)).probe(asked(e), PROBES)
+    both = search_index(index, asked(e), probes, K, IndexOptions()).unionByName(vlog.probed_knn(rest, asked(e), probes, K))
     return ranked(knn.merge_top_k(both.drop("rank"), K))
 
 
 @search("topk_merge_partials", f"WITH {BASE} {top(PAIRS)}")
-def topk_merge_partials(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def topk_merge_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top k of each label, merged in two levels."""
     e = embeddings(spark, sf_dir)
-    parts = [knn.exact_knn(e.where(f"label % 3 = {i}"), asked(e, whole), K).drop("rank") for i in range(3)]
+    parts = [knn.exact_knn(e.where(f"label % 3 = {i}"), asked(e), K).drop("rank") for i in range(3)]
     left = knn.merge_top_k(parts[0].unionByName(parts[1]), K).drop("rank")
     return ranked(knn.merge_top_k(left.unionByName(parts[2]), K))
 
 
-EPOCHS = ((0, 100), (1, 100), (4, 100))
-_EPOCH = " UNION ALL ".join(f"SELECT {k}::INT AS epoch, * FROM ({top(PAIRS + f' WHERE vec_id < {(k + 1) * n}')})" for k, n in EPOCHS)
+EPOCHS = (0, 1, 4)  #: of five, each a fifth of the ids; the last ends with the greatest id
+_SIZE = "(SELECT (max(vec_id) + 5) // 5 FROM embeddings)"
+_EPOCH = " UNION ALL ".join(f"SELECT {k}::INT AS epoch, * FROM ({top(PAIRS + f' WHERE vec_id < {k + 1} * {_SIZE}')})" for k in EPOCHS)
 
 
-def _epochs(e: DataFrame, whole: bool) -> tuple[tuple[int, int], ...]:
-    """(epoch, ids an epoch); over whole tables the last epoch ends with the greatest id."""
-    if not whole:
-        return EPOCHS
+def _epochs(e: DataFrame) -> tuple[tuple[int, int], ...]:
+    """(epoch, ids an epoch)."""
     size = -(-((e.agg(F.max("vec_id")).first()[0] or 0) + 1) // 5)
-    return tuple((k, size) for k, _ in EPOCHS)
+    return tuple((k, size) for k in EPOCHS)
 
 
 @search("epoch_knn", f"WITH {BASE} {_EPOCH}")
-def epoch_knn(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def epoch_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    parts = [ranked(knn.exact_knn(evaluate.epoch_rows(e, k, n), asked(e, whole), K)).select(F.lit(k).alias("epoch"), "*") for k, n in _epochs(e, whole)]
+    parts = [ranked(knn.exact_knn(evaluate.epoch_rows(e, k, n), asked(e), K)).select(F.lit(k).alias("epoch"), "*") for k, n in _epochs(e)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-_EPOCH_RECALL = " UNION ALL ".join(f"SELECT {k}::INT AS epoch, (SELECT count(*) FROM (SELECT qid, vec_id FROM ep WHERE epoch = {k}) JOIN (SELECT qid, vec_id FROM ep WHERE epoch = 4) USING (qid, vec_id)) / 100.0 AS recall" for k, _ in EPOCHS)
+_EPOCH_RECALL = " UNION ALL ".join(f"SELECT {k}::INT AS epoch, (SELECT count(*) FROM (SELECT qid, vec_id FROM ep WHERE epoch = {k}) JOIN (SELECT qid, vec_id FROM ep WHERE epoch = 4) USING (qid, vec_id)) / (SELECT count(*)::DOUBLE FROM ep WHERE epoch = 4) AS recall" for k in EPOCHS)
 
 
 @search("epoch_recall", f"WITH {BASE}, ep AS ({_EPOCH}) SELECT epoch, round(recall::DOUBLE, 6) AS recall FROM ({_EPOCH_RECALL})")
-def epoch_recall(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def epoch_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the last epoch's neighbours, the share that earlier epochs had found."""
     e = embeddings(spark, sf_dir)
-    epochs = _epochs(e, whole)
-    truth = knn.exact_knn(evaluate.epoch_rows(e, *epochs[-1]), asked(e, whole), K)
-    parts = [evaluate.recall(knn.exact_knn(evaluate.epoch_rows(e, k, n), asked(e, whole), K), truth, K).agg(F.lit(k).alias("epoch"), F.round(F.avg("recall"), 6).alias("recall")) for k, n in epochs]
+    epochs = _epochs(e)
+    truth = knn.exact_knn(evaluate.epoch_rows(e, *epochs[-1]), asked(e), K)
+    parts = [evaluate.recall(knn.exact_knn(evaluate.epoch_rows(e, k, n), asked(e), K), truth, K).agg(F.lit(k).alias("epoch"), F.round(F.avg("recall"), 6).alias("recall")) for k, n in epochs]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -539,9 +537,9 @@ _RESULTS = f"SELECT qid AS query_index, string_agg(vec_id || ':' || rank, ' ' OR
 
 
 @search("query_results", f"WITH {BASE} {_RESULTS}")
-def query_results(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def query_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    r = evaluate.query_results(knn.exact_knn(e, asked(e, whole), K))
+    r = evaluate.query_results(knn.exact_knn(e, asked(e), K))
     return r.select("query_index", F.array_join(F.transform("results", lambda x, i: F.concat(x["id"], F.lit(":"), i + 1)), " ").alias("results"))
 
 
@@ -577,36 +575,36 @@ def _exact(found: DataFrame, e: DataFrame, q: DataFrame) -> DataFrame:
     return both.select("qid", "vec_id", V.l2(V.doubles(F.col("embedding")), V.doubles(F.col("qv"))).alias("distance"))
 
 
-def _family(spark: SparkSession, sf_dir: str, options: IndexOptions, whole: bool, candidates: int = K) -> DataFrame:
+def _family(spark: SparkSession, sf_dir: str, options: IndexOptions, candidates: int = K) -> DataFrame:
     e = embeddings(spark, sf_dir)
     index, rest, _ = _index(e, options, 40)
-    probes = routing.CentroidRouter(centroids(e)).probe(asked(e, whole), PROBES if whole else 4)
-    found = search_index(index, asked(e, whole), probes, candidates, options).drop("rank")
+    probes = routing.CentroidRouter(centroids(e)).probe(asked(e), PROBES)
+    found = search_index(index, asked(e), probes, candidates, options).drop("rank")
     if candidates > K:
-        found = _exact(found, e, asked(e, whole))
-    both = found.unionByName(vlog.probed_knn(rest, asked(e, whole), probes, K).drop("rank"))
+        found = _exact(found, e, asked(e))
+    both = found.unionByName(vlog.probed_knn(rest, asked(e), probes, K).drop("rank"))
     return ranked(knn.merge_top_k(both, K))
 
 
 @search("index_ivfflat_search")
-def index_ivfflat_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _family(spark, sf_dir, IndexOptions("ivfflat", flat_up_to=16, lists=6, probes=6 if whole else 3), whole)
+def index_ivfflat_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _family(spark, sf_dir, IndexOptions("ivfflat", flat_up_to=16, lists=6, probes=6))
 
 
 @query("index_ivfflat_all_lists", f"WITH {BASE}, {CENTROIDS}, {PROBE}, {LOG} {top(_HYBRID)}")
 def index_ivfflat_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With all lists of the probed partitions the result is that of searching these partitions."""
-    return _family(spark, sf_dir, IndexOptions("ivfflat", flat_up_to=16, lists=6, probes=6), False)
+    return _family(spark, sf_dir, IndexOptions("ivfflat", flat_up_to=16, lists=6, probes=6))
 
 
 @search("index_ivfpq_search")
-def index_ivfpq_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _family(spark, sf_dir, IndexOptions("ivfpq", flat_up_to=16, lists=4, probes=4, pq_from=16, pq_bits=5), whole, 10 * K if whole else K)
+def index_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _family(spark, sf_dir, IndexOptions("ivfpq", flat_up_to=16, lists=4, probes=4, pq_from=16, pq_bits=5), 10 * K)
 
 
 @search("index_hnsw_search")
-def index_hnsw_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _family(spark, sf_dir, IndexOptions("hnsw", flat_up_to=16, links=8), whole)
+def index_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _family(spark, sf_dir, IndexOptions("hnsw", flat_up_to=16, links=8))
 
 
 @query("kmeans_centroids")
@@ -656,11 +654,11 @@ def stream_seal_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine(spark, sf_dir, 2)[0].manifest().select("partition_id", "segment_id", "base", "end", "n", "family")
 
 
-@search("stream_search", f"WITH {BASE}, {CENTROIDS}, {ASSIGN}, {PROBE} {top(_IVF_PAIRS.format(n=4))}")
-def stream_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@search("stream_search", f"WITH {BASE}, {CENTROIDS}, {ASSIGN}, {PROBE} {top(_IVF_PAIRS.format(n=PROBES))}")
+def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index and tail, whatever the cut between them, give what a search of the partitions gives."""
     engine, e = _engine(spark, sf_dir, 2)
-    return ranked(engine.search(asked(e, whole), K, PROBES if whole else 4))
+    return ranked(engine.search(asked(e), K, PROBES))
 
 
 @query("stream_replay", "SELECT count(*) AS n, count(DISTINCT vec_id) AS different FROM embeddings")
