@@ -6,17 +6,22 @@ windows pick equal k-grams at equal places, and consecutive windows that share a
 a run. The steps:
 
 1. ``runs_of``: one row per run; inside a batch, runs with equal content after the first are already
-   settled as duplicates, so a passage that very many documents share leaves each batch once.
+   settled as duplicates, so a passage that very many documents share leaves each batch once. Each is
+   compared with the run before it of its content.
 2. ``settled``: rows dealt and sorted by k-gram; a stream per task with constant state drops k-grams
-   that occur once, settles runs whose whole content occurred before, and leaves the runs whose k-gram
-   also occurs in other surroundings. K-grams with many different contents (found in a sample of
+   that occur once, pairs runs whose whole content occurred before with the run before them, and leaves
+   the runs whose k-gram also occurs in other surroundings. K-grams with many different contents (found in a sample of
    contents, which changes how rows are dealt and nothing else) are dealt by content.
 3. ``contexts``: the symbols of those runs are fetched from the texts. K-grams with more runs than a
    fair share of a task are dealt on by the content of single windows, and again equal windows leave a
    batch once.
+   The pairs' first texts are fetched there too, joined where neighbouring runs have neighbouring pairs,
+   and sent to the second documents. A run is the first of one pair at most, so none is asked often.
 4. The operator decides window by window within a group (``resolve``), by its own method.
+5. ``verify``: where the spans are cut out, each text is compared with those it was paired with.
 
-Nothing is dropped or capped: a run is settled either by equal content or by comparing its windows.
+Nothing is dropped or capped: a run is settled either by equal content or by comparing its windows, and
+equal hashes are never taken for equal texts.
 
 Documents are known by (doc, th): doc_id, and a hash of the text where doc_ids repeat. Rows with one
 doc_id and one text are one document; different texts under one doc_id do not remove from each other.
@@ -29,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,6 +133,18 @@ def merged(doc: np.ndarray, th: np.ndarray, start: np.ndarray, size: np.ndarray)
     return doc[at], th[at], start[at], (reach - lift)[np.r_[at[1:], len(doc)] - 1] - start[at]
 
 
+def aligned(pair: tuple[np.ndarray, ...], start: np.ndarray, other: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans equal to those at ``other`` in the text they are paired with, joined where both go on: a row of each, its start, size."""
+    order = np.lexsort((start - other, *pair))
+    change = np.arange(len(order)) == 0
+    for x in (start - other, *pair):
+        change[1:] |= x[order][1:] != x[order][:-1]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(change) - 1
+    found, _, at, n = merged(group, 0 * group, start, size)
+    return order[np.flatnonzero(change)][found], at, n
+
+
 def repeated(doc: np.ndarray, th: np.ndarray, start: np.ndarray, new: np.ndarray, own: bool) -> np.ndarray:
     """Of rows sorted by class, doc, th, start (``new``: a class begins), those that have an earlier equal."""
     if not len(doc):
@@ -144,19 +162,26 @@ def repeated(doc: np.ndarray, th: np.ndarray, start: np.ndarray, new: np.ndarray
 # ---------------------------------------------------------------- 1: runs of a batch
 
 RUNS = "h long, content long, doc long, th long, at long"
-CHECKS = "span boolean, h long, doc long, th long, at long, size long"
+CHECKS = "kind int, h long, doc long, th long, at long, size long, from_doc long, from_th long, from_at long"
+SPAN, RUN, PAIR = range(3)  #: a duplicate span; a run to compare; a span that equals the one at from_at
+Slices = Callable[[bytes], Callable[[int, int], bytes]]  #: of a text, the function that gives the bytes of (start, size)
+
+
+class Differ(ValueError):
+    def __init__(self):
+        super().__init__("two different strings have one hash")
 
 
 def pack(start: np.ndarray, anchor: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (start << 16) | (anchor << 8) | n
 
 
-def runs_of(symbols: Callable[[bytes], np.ndarray], spec: Spec):
+def runs_of(symbols: Callable[[bytes], np.ndarray], slices: Slices, spec: Spec):
     """Batches (doc, th, text) to RUNS; a row with no windows is a settled span, ``content`` its length."""
 
-    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
+    def pieces(batch: list[bytes]) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
         rows, offsets, arrays, total = [], [], [], 0
-        for r, t in enumerate(texts(batch)):
+        for r, t in enumerate(batch):
             s = symbols(t)
             for at in range(0, max(1, len(s) - spec.window + 1), PIECE):
                 part = s[at : at + PIECE + spec.window - 1]
@@ -172,22 +197,37 @@ def runs_of(symbols: Callable[[bytes], np.ndarray], spec: Spec):
         if rows:
             yield rows, offsets, arrays
 
+    def compare(batch: list[bytes], row: np.ndarray, start: np.ndarray, size: np.ndarray, second: np.ndarray) -> None:
+        """Each run at ``second`` with the run before it."""
+        if not len(second):
+            return
+        cut: dict[int, Callable[[int, int], bytes]] = {}
+        a, b, x, y = row[second - 1], row[second], start[second - 1], start[second]
+        k, at, n = aligned((a, b), y, x, size[second])
+        for i, j, from_at, to_at, length in zip(a[k].tolist(), b[k].tolist(), (at - (y - x)[k]).tolist(), at.tolist(), n.tolist(), strict=True):
+            for r in (i, j):
+                if r not in cut:
+                    cut[r] = slices(batch[r])
+            if cut[i](from_at, length) != cut[j](to_at, length):
+                raise Differ
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs, ths = b.column("doc").to_numpy(), b.column("th").to_numpy()
-            found = []
-            for rows, offsets, arrays in pieces(b):
+            found, batch = [], texts(b)
+            for rows, offsets, arrays in pieces(batch):
                 bounds = np.r_[0, np.cumsum([len(a) for a in arrays])]
                 d, start, n, anchor, h, content = anchor_runs(np.concatenate(arrays), bounds, spec)
                 r = np.array(rows)[d]
-                found.append((h.astype(np.int64), content.astype(np.int64), docs[r], ths[r], start + np.array(offsets)[d], n, anchor))
+                found.append((h.astype(np.int64), content.astype(np.int64), docs[r], ths[r], start + np.array(offsets)[d], n, anchor, r))
             if not found:
                 continue
-            h, content, doc, th, start, n, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+            h, content, doc, th, start, n, anchor, row = (np.concatenate(x) for x in zip(*found, strict=True))
             o = np.lexsort((start, th, doc, content, h))
-            h, content, doc, th, start, n, anchor = (x[o] for x in (h, content, doc, th, start, n, anchor))
+            h, content, doc, th, start, n, anchor, row = (x[o] for x in (h, content, doc, th, start, n, anchor, row))
             new = np.r_[True, (h[1:] != h[:-1]) | (content[1:] != content[:-1])] if len(h) else np.zeros(0, bool)
             dup = repeated(doc, th, start, new, spec.own)
+            compare(batch, row, start, n + spec.window - 1, np.flatnonzero(dup))
             sd, sth, ss, size = merged(doc[dup], th[dup], start[dup], n[dup] + spec.window - 1)
             deal = mix((sd * 31 + ss).astype(U)).astype(np.int64)
             yield pa.RecordBatch.from_pydict(
@@ -207,18 +247,23 @@ def runs_of(symbols: Callable[[bytes], np.ndarray], spec: Spec):
 
 
 def settled(spec: Spec):
-    """RUNS and ``hot``, sorted by all columns, to CHECKS: spans, and the runs that are left to compare.
+    """RUNS and ``hot``, sorted by all columns, to CHECKS: spans, pairs, and the runs that are left to compare.
 
     A hot k-gram is dealt by content and known to occur in several surroundings.
     """
 
+    def rows(kind: int, h: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray, size: np.ndarray, *pair: np.ndarray) -> pa.RecordBatch:
+        names = ["h", "doc", "th", "at", "size", "from_doc", "from_th", "from_at"]
+        return pa.RecordBatch.from_pydict({"kind": np.full(len(h), kind, np.int32)} | dict(zip(names, (h, doc, th, at, size, *(pair or (0 * doc,) * 3)), strict=True)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # first row of the last class, and of the last document in it
+        last = (0, 0, 0)  # doc, th, at of the last row
         for b in batches:
             cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "content", "doc", "th", "at", "hot")]
             passing = cols[4] & 255 == 0
             h, content, doc, th, at, hot = (x[passing] for x in cols)
-            yield pa.RecordBatch.from_pydict({"span": np.ones(len(h), bool), "h": h, "doc": doc, "th": th, "at": at >> 16, "size": content})
+            yield rows(SPAN, h, doc, th, at >> 16, content)
             if passing.all():
                 continue
             cols = [x[~passing] for x in cols]
@@ -236,12 +281,15 @@ def settled(spec: Spec):
             if ghosts:
                 many[0] = True
             check = real & ~dup & (np.repeat(many, np.diff(np.r_[cuts, len(h)])) | hot)
-            d, t, s, size = merged(doc[real & dup], th[real & dup], at[real & dup] >> 16, (at[real & dup] & 255) + spec.window - 1)
-            yield pa.RecordBatch.from_pydict({"span": np.ones(len(d), bool), "h": d, "doc": d, "th": t, "at": s, "size": size})
-            yield pa.RecordBatch.from_pydict({"span": np.zeros(int(check.sum()), bool), "h": h[check], "doc": doc[check], "th": th[check], "at": at[check], "size": at[check] & 255})
+            twice = dup[ghosts:]
+            before = [np.r_[x, y[ghosts:-1]][twice] for x, y in zip(last, (doc, th, at), strict=True)]
+            mine = [x[ghosts:][twice] for x in (h, doc, th, at)]
+            yield rows(PAIR, *mine[:3], mine[3] >> 16, (mine[3] & 255) + spec.window - 1, before[0], before[1], before[2] >> 16)
+            yield rows(RUN, h[check], doc[check], th[check], at[check], at[check] & 255)
+            last = (doc[-1], th[-1], at[-1])
             first = int(np.flatnonzero(new)[-1])
-            mine = int(np.flatnonzero(new | np.r_[True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])])[-1])
-            held = [x[[first, mine] if mine > first else [first]] for x in cols]
+            own = int(np.flatnonzero(new | np.r_[True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])])[-1])
+            held = [x[[first, own] if own > first else [first]] for x in cols]
 
     return run
 
@@ -251,16 +299,31 @@ def settled(spec: Spec):
 CONTEXTS = "deal long, doc long, th long, at long, size long, payload binary"
 
 
-def contexts(symbols: Callable[[bytes], np.ndarray], spec: Spec):
-    """Batches (doc, th, text, items) to CONTEXTS; a row without payload is a settled span of ``size``."""
+def contexts(symbols: Callable[[bytes], np.ndarray], slices: Slices, spec: Spec):
+    """Batches (doc, th, text, items, asks) to CONTEXTS; a row with no windows is a span of ``size``, its payload the text it must equal."""
     w = spec.window
 
+    def asked(b: pa.RecordBatch, batch: list[bytes]) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+        """The text of the batch's documents that spans of others are paired with."""
+        flat = b.column("asks").flatten()
+        if not len(flat):
+            return
+        row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("asks")).to_numpy(zero_copy_only=False))
+        doc, th, at, size, from_at = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("doc", "th", "at", "size", "from_at"))
+        cut: dict[int, Callable[[int, int], bytes]] = {}
+        k, begin, n = aligned((row, doc, th), from_at, at, size)
+        for r, d, t, to, start, length in zip(row[k].tolist(), doc[k].tolist(), th[k].tolist(), (begin - (from_at - at)[k]).tolist(), begin.tolist(), n.tolist(), strict=True):
+            if r not in cut:
+                cut[r] = slices(batch[r])
+            yield (to * 31 + d) % (1 << 62), d, t, to << 16, length, cut[r](start, length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            batch = texts(b)
+            out = list(asked(b, batch))
             shared: dict[tuple[int, bytes], list[tuple[int, int, int, int, int]]] = {}
-            for doc, th, text, items in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), texts(b), b.column("items").to_pylist(), strict=True):
-                s = symbols(text)
+            for doc, th, text, items in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), batch, b.column("items").to_pylist(), strict=True):
+                s = symbols(text) if items else None
                 for x in items:
                     start, anchor, n = x["at"] >> 16, (x["at"] >> 8) & 255, x["at"] & 255
                     if not x["hot"]:
@@ -297,7 +360,7 @@ class Rows:
     symbols: np.ndarray
 
 
-SPANS = "doc long, th long, start long, size long"
+SPANS = "doc long, th long, start long, size long, expect binary"
 
 
 def resolved(resolve: Callable[[Rows], tuple[np.ndarray, ...]], dtype: str):
@@ -307,8 +370,15 @@ def resolved(resolve: Callable[[Rows], tuple[np.ndarray, ...]], dtype: str):
         for t in whole_groups(batches, "deal", 4000):
             deal, doc, th, at, size = (t.column(c).to_numpy() for c in ("deal", "doc", "th", "at", "size"))
             span = at & 255 == 0
+            paired = np.flatnonzero(span & t.column("payload").is_valid().to_numpy())
+            if len(paired):
+                span[paired] = False
+                key = np.stack([x[paired] for x in (doc, th, at, size)])
+                paired = paired[np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)]]
+                expect = t.column("payload").take(pa.array(paired)).combine_chunks()
+                yield pa.RecordBatch.from_pydict({"doc": doc[paired], "th": th[paired], "start": at[paired] >> 16, "size": size[paired], "expect": expect})
             d, h, s, n = doc[span], th[span], at[span] >> 16, size[span]
-            left = np.flatnonzero(~span)
+            left = np.flatnonzero(at & 255 > 0)
             if len(left):
                 payload = t.column("payload").take(pa.array(left)).to_pylist()
                 buffer = np.frombuffer(b"".join(payload), dtype)
@@ -318,7 +388,7 @@ def resolved(resolve: Callable[[Rows], tuple[np.ndarray, ...]], dtype: str):
                 more = resolve(Rows(group, doc[left], th[left], at >> 16, (at >> 8) & 255, at & 255, np.cumsum(sizes) - sizes, buffer))
                 d, h, s, n = (np.r_[a, b] for a, b in zip((d, h, s, n), more, strict=True))
             d, h, s, n = merged(d, h, s, n)
-            yield pa.RecordBatch.from_pydict({"doc": d, "th": h, "start": s, "size": n})
+            yield pa.RecordBatch.from_pydict({"doc": d, "th": h, "start": s, "size": n, "expect": pa.nulls(len(d), pa.binary())})
 
     return run
 
@@ -333,14 +403,17 @@ def keyed(docs: DataFrame, row: bool = False) -> DataFrame:
     return base.withColumn("th", F.xxhash64("text") if again else F.lit(0).cast("long"))
 
 
-def duplicate_spans(docs: DataFrame, spec: Spec, values: Callable[[bytes], np.ndarray], symbols: Callable[[bytes], np.ndarray], dtype: str, resolve: Callable[[Rows], tuple[np.ndarray, ...]]) -> DataFrame:
-    """(doc, th, spans array<struct<start, size>>) of keyed documents that have duplicate windows.
+def duplicate_spans(docs: DataFrame, spec: Spec, values: Callable[[bytes], np.ndarray], symbols: Callable[[bytes], np.ndarray], slices: Slices, dtype: str, resolve: Callable[[Rows], tuple[np.ndarray, ...]]) -> DataFrame:
+    """(doc, th, spans array<struct<start, size, expect>>) of keyed documents that have duplicate windows.
 
-    ``values`` maps a text to the hashed symbols that choose anchors, ``symbols`` to those compared.
+    ``values`` maps a text to the hashed symbols that choose anchors, ``symbols`` to those compared, ``slices``
+    to the text of symbols. Whoever uses the spans must ``verify`` them.
     """
     parts = partitions(docs)
     base = docs.select("doc", "th", "text")
-    runs = materialize(base.mapInArrow(runs_of(values, spec), RUNS), "runs")
+    if base.where("th <> 0").limit(1).count():  # rows that repeat a doc_id and text are one document
+        base = base.dropDuplicates(["doc", "th"])
+    runs = materialize(base.mapInArrow(runs_of(values, slices, spec), RUNS), "runs")
     limit = max(256, runs.count() // (4 * parts))
     sample = runs.where((F.pmod("content", F.lit(SAMPLE)) == 0) & (F.col("at").bitwiseAND(255) > 0))
     # about 4 * parts keys can pass the limit
@@ -350,16 +423,22 @@ def duplicate_spans(docs: DataFrame, spec: Spec, values: Callable[[bytes], np.nd
     dealt = dealt.sortWithinPartitions("h", "content", "doc", "th", "at")
     found = materialize(dealt.mapInArrow(settled(spec), CHECKS), "settled")
     drop(runs)
-    checks = found.where(~F.col("span"))
+    checks = found.where(F.col("kind") == RUN)
     limit = max(64, checks.count() // (2 * parts))
     # at most 2 * parts keys can pass the limit
     hot = checks.groupBy("h").count().where(F.col("count") > limit).select("h", F.lit(True).alias("is_hot"))
-    items = checks.join(F.broadcast(hot), "h", "left").groupBy("doc", "th").agg(F.collect_list(F.struct("h", "at", F.coalesce("is_hot", F.lit(False)).alias("hot"))).alias("items"))
-    rows = base.join(items, ["doc", "th"]).mapInArrow(contexts(symbols, spec), CONTEXTS)
+    pair = F.col("kind") == PAIR
+    item = F.when(~pair, F.struct("h", "at", F.coalesce("is_hot", F.lit(False)).alias("hot")))
+    ask = F.when(pair, F.struct("doc", "th", "at", "size", "from_at"))
+    place = [F.when(pair, F.col(f"from_{c}")).otherwise(F.col(c)).alias(c) for c in ("doc", "th")]
+    left = found.where(F.col("kind") != SPAN).join(F.broadcast(hot), "h", "left").select(*place, item.alias("item"), ask.alias("ask"))
+    items = left.groupBy("doc", "th").agg(F.collect_list("item").alias("items"), F.collect_list("ask").alias("asks"))
+    rows = base.join(items, ["doc", "th"]).mapInArrow(contexts(symbols, slices, spec), CONTEXTS)
     rows = rows.repartition(parts, "deal").sortWithinPartitions("deal", "doc", "th", "at")
     more = materialize(rows.mapInArrow(resolved(resolve, dtype), SPANS), "spans")
-    spans = found.where("span").select("doc", "th", F.col("at").alias("start"), "size").union(more)
-    out = materialize(spans.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "size")).alias("spans")), "doc-spans")
+    sure = found.where(F.col("kind") == SPAN).select("doc", "th", F.col("at").alias("start"), "size", F.lit(None).cast("binary").alias("expect"))
+    spans = sure.union(more).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "size", "expect")).alias("spans"))
+    out = materialize(spans, "doc-spans")
     drop(found, more)
     return out
 
@@ -373,3 +452,10 @@ def covered(n: int, spans: list[dict] | None) -> np.ndarray:
     np.add.at(edge, start, 1)
     np.add.at(edge, start + np.array([s["size"] for s in spans]), -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def verify(cut: Callable[[int, int], bytes], spans: list[dict] | None) -> None:
+    """Raise unless each span that was paired has the text it was paired with."""
+    for s in spans or ():
+        if s["expect"] is not None and cut(s["start"], s["size"]) != s["expect"]:
+            raise Differ

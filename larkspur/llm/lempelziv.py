@@ -17,13 +17,13 @@ null; rows of one doc_id do not remove from each other; only doc_id and text are
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from larkspur.llm.anchors import Rows, Spec, U, covered, duplicate_spans, hashes, keyed, mix, prefix
+from larkspur.llm.anchors import Differ, Rows, Spec, U, covered, duplicate_spans, hashes, keyed, mix, prefix, verify
 from larkspur.llm.common import texts, tune
 from larkspur.llm.suffixes import byte_values
 
@@ -59,6 +59,11 @@ def word_values(text: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
+def word_slices(text: bytes | list[bytes]) -> Callable[[int, int], bytes]:
+    words = text.split() if isinstance(text, bytes) else text
+    return lambda start, size: b" ".join(words[start : start + size])
+
+
 def parse(rows: Rows, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """Duplicate spans (doc, th, start, length) of the contexts of whole groups, by greedy factors."""
     empty = (np.zeros(0, np.int64),) * 4
@@ -98,7 +103,7 @@ def parse(rows: Rows, window: int = WINDOW) -> tuple[np.ndarray, ...]:
         size = low + window - 1
         step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         if (data[np.repeat(pos[s], size) + step] != data[np.repeat(pos[r], size) + step]).any():
-            raise ValueError("two different passages have one hash")
+            raise Differ
         found.append((rows.doc[live], rows.th[live], rows.start[live] + s - first[live], size))
         at[live] = s + low
         live = live[at[live] < last[live]]
@@ -107,7 +112,7 @@ def parse(rows: Rows, window: int = WINDOW) -> tuple[np.ndarray, ...]:
 
 def passage_spans(docs: DataFrame) -> DataFrame:
     """(doc, th, spans) of keyed documents: word spans found in documents with smaller doc_ids."""
-    return duplicate_spans(docs, Spec(WINDOW, GRAM, False), word_values, word_values, "<u8", parse)
+    return duplicate_spans(docs, Spec(WINDOW, GRAM, False), word_values, word_values, word_slices, "<u8", parse)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +120,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, gone, kept_hash, kept_text = [], [], [], []
         for text, spans in zip(texts(b), b.column("spans").to_pylist(), strict=True):
             words = text.split()
+            verify(word_slices(words), spans)
             cut = covered(len(words), spans)
             kept = b" ".join([w for w, c in zip(words, cut.tolist(), strict=True) if not c] if spans else words)
             n.append(len(words))

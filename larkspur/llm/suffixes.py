@@ -13,13 +13,13 @@ repeat doc_id and text are one document and get the same result each; only doc_i
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from larkspur.llm.anchors import Rows, Spec, U, covered, duplicate_spans, hashes, keyed, mix, prefix, repeated
+from larkspur.llm.anchors import Differ, Rows, Spec, U, covered, duplicate_spans, hashes, keyed, mix, prefix, repeated, verify
 from larkspur.llm.common import texts, tune
 
 WINDOW = 100
@@ -37,6 +37,10 @@ def byte_symbols(text: bytes) -> np.ndarray:
     return np.frombuffer(text, np.uint8)
 
 
+def byte_slices(text: bytes) -> Callable[[int, int], bytes]:
+    return lambda start, size: text[start : start + size]
+
+
 class Comparer:
     """Order and equality of the suffixes of a buffer, each cut at ``width`` bytes."""
 
@@ -125,7 +129,7 @@ def suffix_duplicates(rows: Rows, window: int = WINDOW) -> tuple[np.ndarray, ...
         k = same[at : at + 100_000]
         span = np.arange(window)
         if (rows.symbols[pos[k + 1][:, None] + span] != rows.symbols[pos[k][:, None] + span]).any():
-            raise ValueError("two different strings have one hash")
+            raise Differ
     new = np.ones(len(pos), bool)
     new[same + 1] = False
     dup = repeated(doc, th, start, new, True)
@@ -134,7 +138,7 @@ def suffix_duplicates(rows: Rows, window: int = WINDOW) -> tuple[np.ndarray, ...
 
 def substring_spans(docs: DataFrame) -> DataFrame:
     """(doc, th, spans) of keyed documents: byte spans that occur earlier."""
-    return duplicate_spans(docs, Spec(WINDOW, GRAM, True), byte_values, byte_symbols, "u1", suffix_duplicates)
+    return duplicate_spans(docs, Spec(WINDOW, GRAM, True), byte_values, byte_symbols, byte_slices, "u1", suffix_duplicates)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +146,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, gone, runs, kept_hash, kept_text = [], [], [], [], []
         for text, spans in zip(texts(b), b.column("spans").to_pylist(), strict=True):
             data = np.frombuffer(text, np.uint8)
+            verify(byte_slices(text), spans)
             cut = covered(len(data), spans)
             kept = data[~cut].tobytes()
             n.append(len(data))
