@@ -216,6 +216,27 @@ def train_centroids(vectors: DataFrame, k: int, rows: int = 100_000, seed: int =
     return np.array(KMeans(k=k, seed=seed).fit(some).clusterCenters())
 
 
+def load_centroids(spark: SparkSession, path: str) -> np.ndarray:
+    """Centres of an ``npy`` file, or of Parquet rows (label, embedding) in order of label; two dimensions, or ValueError."""
+    if path.endswith(".npy"):
+        centres = np.load(path)
+    else:
+        rows = spark.read.parquet(path).select("label", "embedding").orderBy("label").collect()  # centroids are few by design
+        if len({len(r["embedding"]) for r in rows}) > 1:
+            raise ValueError("centroids differ in length")
+        centres = np.array([r["embedding"] for r in rows], np.float64)
+    if centres.ndim != 2 or not centres.size:
+        raise ValueError(f"centroids must be a matrix, not of shape {centres.shape}")
+    return centres
+
+
+def centroid_router(vectors: DataFrame, k: int | None = None, path: str | None = None, metric: str = "euclidean") -> CentroidRouter:
+    """A router by the centroids of a file or by k trained ones, one of both."""
+    if (k is None) == (path is None):
+        raise ValueError("give either a number of centroids or a file of them")
+    return CentroidRouter(train_centroids(vectors, k) if path is None else load_centroids(vectors.sparkSession, path), metric)
+
+
 def label_centroids(vectors: DataFrame) -> DataFrame:
     """(label, i, m): mean of each dimension by label, one step of k-means from given assignments."""
     x = vectors.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))

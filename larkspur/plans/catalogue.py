@@ -561,6 +561,21 @@ def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("n", "failed", *(F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p99")))
 
 
+_START, _END = "(1.7e9::DOUBLE + event_id / 4::DOUBLE)", "(1.7e9::DOUBLE + event_id / 4::DOUBLE + value / 1000)"
+_ISO = "replace(strftime(make_timestamp(round({} * 1000000)::BIGINT), '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') || '+00:00'"
+
+
+@query("query_times", f"SELECT event_id, {_ISO.format(_START)} AS start_time, {_ISO.format(_END)} AS end_time, round({_END} - {_START}, 6) AS latency_seconds FROM events")
+def query_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.lit(1.7e9) + F.col("event_id") / F.lit(4.0)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", *evaluate.query_times(start, start + F.col("value") / 1000))
+
+
+@query("l1_places", f"WITH {KEYS}, ch AS (SELECT partition_id, key, (row_number() OVER (PARTITION BY partition_id ORDER BY key) - 1) // 2 AS chunk FROM ks) SELECT partition_id, key, (dense_rank() OVER (ORDER BY partition_id, chunk) - 1)::BIGINT AS place FROM ch")
+def l1_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.placed_chunks(_keys(embeddings(spark, sf_dir)), "partition_id", "key", 2, 1 << 20)
+
+
 @query("batch_generator", "SELECT vec_id // 128 AS batch, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last FROM embeddings GROUP BY 1")
 def batch_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.frame_batches(embeddings(spark, sf_dir), 128).groupBy("batch").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))

@@ -3,10 +3,13 @@
 Tables under a root folder:
 
 * ``log``: partition_id, log_offset, vec_id, embedding, batch; one folder a micro-batch, written by
-  overwriting, so a replayed batch leaves what it left before;
+  overwriting, so a replayed batch leaves what it left before, and in it one a partition;
 * ``manifest``: partition_id, segment_id (= base), base, end, n, family, and the index payload; a
   segment is indexed and committed by the same row, so index and log tail are always disjoint and
-  together complete.
+  together complete. It has the same folders.
+
+Both tables are read by partition: the probed partitions are literals of the scan, so files of other
+partitions are not opened.
 
 A search reads one manifest snapshot; rows at or above a partition's last sealed end are its tail.
 """
@@ -26,6 +29,7 @@ from larkspur.operators.kernels import best, matrix
 from larkspur.operators.knn import RESULT, in_blocks, merge_top_k, probing, query_matrix
 from larkspur.operators.routing import Router
 from larkspur.session import importable
+from larkspur.sources import records
 
 LOG = "partition_id long, log_offset long, vec_id long, embedding array<float>, batch long"
 MANIFEST = "partition_id long, segment_id long, base long, end long, n long, family string, payload binary, batch long"
@@ -146,7 +150,23 @@ class VectorLog:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").select(*(c.split()[0] for c in schema.split(", ")))
+
+    def create(self) -> None:
+        """Make an empty collection; FileExistsError if there is one."""
+        fs, root = self._folder()
+        if fs.exists(root):
+            raise FileExistsError(self.root)
+        fs.mkdirs(root)
+
+    def delete(self) -> None:
+        """Delete the collection with its log and its indexes; nothing if there is none."""
+        fs, root = self._folder()
+        fs.delete(root, True)
+
+    def _folder(self):
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), root
 
     def log(self) -> DataFrame:
         return self._read("log", LOG)
@@ -162,7 +182,7 @@ class VectorLog:
         placed = self.router.ingest(vectors, carry=True)
         heads = self.log().where(F.col("batch") < batch).groupBy("partition_id").agg((F.max("log_offset") + 1).alias("head"))
         rows = append_offsets(placed, heads)
-        rows.select("partition_id", "log_offset", "vec_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(f"{self.root}/log/batch={batch}")
+        rows.select("partition_id", "log_offset", "vec_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").partitionBy("partition_id").parquet(f"{self.root}/log/batch={batch}")
 
     def append_to(self, vectors: DataFrame, batch: int, partition: int) -> None:
         """Write a whole batch to one partition, whatever the router says (for debugging a partition)."""
@@ -170,7 +190,7 @@ class VectorLog:
             raise ValueError(f"there are partitions 0 to {self.router.n_partitions - 1}")
         heads = self.log().where(F.col("batch") < batch).groupBy("partition_id").agg((F.max("log_offset") + 1).alias("head"))
         rows = append_offsets(vectors.withColumn("partition_id", F.lit(partition).cast("long")), heads)
-        rows.select("partition_id", "log_offset", "vec_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(f"{self.root}/log/batch={batch}")
+        rows.select("partition_id", "log_offset", "vec_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").partitionBy("partition_id").parquet(f"{self.root}/log/batch={batch}")
 
     def index(self, batch: int) -> None:
         """Seal what is full beyond the committed offsets, build the segments' indexes and commit both at once."""
@@ -179,7 +199,7 @@ class VectorLog:
         spans = seal_bytes(open_rows, self.segment_bytes).where("sealed").select("partition_id", "base", "end")
         rows = open_rows.join(spans, "partition_id").where((F.col("log_offset") >= F.col("base")) & (F.col("log_offset") < F.col("end"))).withColumn("segment_id", F.col("base"))
         built = build_index(rows, self.options).join(spans.withColumnRenamed("base", "segment_id"), ["partition_id", "segment_id"])
-        built.select("partition_id", "segment_id", F.col("segment_id").alias("base"), "end", "n", "family", "payload").write.mode("overwrite").parquet(f"{self.root}/manifest/batch={batch}")
+        built.select("partition_id", "segment_id", F.col("segment_id").alias("base"), "end", "n", "family", "payload").write.mode("overwrite").partitionBy("partition_id").parquet(f"{self.root}/manifest/batch={batch}")
 
     def ingest_stream(self, stream: DataFrame, checkpoint: str, seal: bool = True):
         """Start a query that appends every micro-batch and then seals and indexes; returns the StreamingQuery."""
@@ -191,6 +211,25 @@ class VectorLog:
 
         return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+    def index_files(self, path: str, checkpoint: str):
+        """Start a query that indexes sealed ``.log`` segments as they arrive under ``path``; returns the StreamingQuery.
+
+        Partition and base are read from a segment's path; other files, paths that do not say them, and
+        segments that are registered already are left out. A damaged segment stops the query.
+        """
+
+        def each(df: DataFrame, batch: int) -> None:
+            _, partition, base, _ = records.segment_key(F.col("path"))
+            rows = df.withColumn("partition_id", partition).withColumn("segment_id", base).where("partition_id IS NOT NULL AND segment_id IS NOT NULL")
+            old = self.manifest().where(F.col("batch") < batch).select("partition_id", "segment_id")
+            rows = rows.join(old, ["partition_id", "segment_id"], "left_anti")
+            ends = rows.groupBy("partition_id", "segment_id").agg((F.max("log_offset") + 1).alias("end"))
+            built = build_index(rows, self.options).join(ends, ["partition_id", "segment_id"])
+            built.select("partition_id", "segment_id", F.col("segment_id").alias("base"), "end", "n", "family", "payload").write.mode("overwrite").partitionBy("partition_id").parquet(f"{self.root}/manifest/batch={batch}")
+
+        stream = records.read_segments(self.spark, path, stream=True)
+        return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
     def count_indexes(self) -> DataFrame:
         return self.manifest().groupBy("partition_id").agg(F.count("*").alias("indexes"))
 
@@ -250,4 +289,3 @@ def _probed_knn(rows: DataFrame, queries: DataFrame, probes: DataFrame, k: int,
 
     placed = rows.select(F.col("partition_id").cast("long").alias("partition_id"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     return merge_top_k(placed.where(F.col("partition_id").isin(list(asked))).mapInArrow(run, RESULT), k)
-
