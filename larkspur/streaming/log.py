@@ -6,10 +6,11 @@ Tables under a root folder:
   overwriting, so a replayed batch leaves what it left before, and in it one a partition;
 * ``manifest``: partition_id, segment_id (= base), base, end, n, family, and the index payload; a
   segment is indexed and committed by the same row, so index and log tail are always disjoint and
-  together complete. It has the same folders.
+  together complete. It has the same folders;
+* ``heads``: partition_id, head after each micro-batch, so the next one does not read the log.
 
-Both tables are read by partition: the probed partitions are literals of the scan, so files of other
-partitions are not opened.
+Log and manifest are read by partition: the probed partitions are literals of the scan, so files of other
+partitions are not opened, and so are committed offsets, so that sealed row groups are skipped.
 
 A search reads one manifest snapshot; rows at or above a partition's last sealed end are its tail.
 """
@@ -32,6 +33,7 @@ from larkspur.session import importable
 from larkspur.sources import records
 
 LOG = "partition_id long, log_offset long, vec_id long, embedding array<float>, batch long"
+HEADS = "partition_id long, head long"
 MANIFEST = "partition_id long, segment_id long, base long, end long, n long, family string, payload binary, batch long"
 
 
@@ -179,23 +181,44 @@ class VectorLog:
 
         Every row is logged once for each of its partitions, rows that repeat a vec_id too.
         """
-        placed = self.router.ingest(vectors, carry=True)
-        heads = self.log().where(F.col("batch") < batch).groupBy("partition_id").agg((F.max("log_offset") + 1).alias("head"))
-        rows = append_offsets(placed, heads)
-        rows.select("partition_id", "log_offset", "vec_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").partitionBy("partition_id").parquet(f"{self.root}/log/batch={batch}")
+        self._write(self.router.ingest(vectors, carry=True), batch)
 
     def append_to(self, vectors: DataFrame, batch: int, partition: int) -> None:
         """Write a whole batch to one partition, whatever the router says (for debugging a partition)."""
         if not 0 <= partition < self.router.n_partitions:
             raise ValueError(f"there are partitions 0 to {self.router.n_partitions - 1}")
-        heads = self.log().where(F.col("batch") < batch).groupBy("partition_id").agg((F.max("log_offset") + 1).alias("head"))
-        rows = append_offsets(vectors.withColumn("partition_id", F.lit(partition).cast("long")), heads)
-        rows.select("partition_id", "log_offset", "vec_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").partitionBy("partition_id").parquet(f"{self.root}/log/batch={batch}")
+        self._write(vectors.withColumn("partition_id", F.lit(partition).cast("long")), batch)
+
+    def _write(self, placed: DataFrame, batch: int) -> None:
+        """Write a batch and the heads after it; a batch that stops between the two is delivered again."""
+        heads, path = self._heads(batch), f"{self.root}/log/batch={batch}"
+        rows = append_offsets(placed, heads)
+        rows.select("partition_id", "log_offset", "vec_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").partitionBy("partition_id").parquet(path)
+        written = self.spark.read.schema("partition_id long, log_offset long").parquet(path)
+        after = end_offsets(written).withColumnRenamed("end_offset", "head").unionByName(heads)
+        after.groupBy("partition_id").agg(F.max("head").alias("head")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/heads/batch={batch}")
+
+    def _heads(self, batch: int) -> DataFrame:
+        """(partition_id, head) after the last batch before this one."""
+        fs, root = self._folder()
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, "heads")
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        before = [n for n in (int(x.removeprefix("batch=")) for x in names if x.startswith("batch=")) if n < batch]
+        if not before:
+            return self.spark.createDataFrame([], HEADS)
+        return self.spark.read.schema(HEADS).parquet(f"{self.root}/heads/batch={max(before)}")
+
+    def open_rows(self, manifest: DataFrame) -> DataFrame:
+        """Log rows at or beyond the committed offsets of a manifest; these are literals, one a partition."""
+        committed = {r["partition_id"]: r["committed"] for r in committed_offsets(manifest).collect()}
+        beyond = [(F.col("partition_id") == p) & (F.col("log_offset") >= committed.get(p, 0)) for p in range(self.router.n_partitions)]
+        while len(beyond) > 1:  # in pairs, so that the expression stays flat
+            beyond = [x | y for x, y in zip(beyond[::2], beyond[1::2])] + beyond[len(beyond) // 2 * 2 :]
+        return self.log().where(beyond[0])
 
     def index(self, batch: int) -> None:
         """Seal what is full beyond the committed offsets, build the segments' indexes and commit both at once."""
-        manifest, log = self.manifest().where(F.col("batch") < batch), self.log()
-        open_rows = tail(log, start_offsets(log, committed_offsets(manifest)))
+        open_rows = self.open_rows(self.manifest().where(F.col("batch") < batch))
         spans = seal_bytes(open_rows, self.segment_bytes).where("sealed").select("partition_id", "base", "end")
         rows = open_rows.join(spans, "partition_id").where((F.col("log_offset") >= F.col("base")) & (F.col("log_offset") < F.col("end"))).withColumn("segment_id", F.col("base"))
         built = build_index(rows, self.options).join(spans.withColumnRenamed("base", "segment_id"), ["partition_id", "segment_id"])
@@ -253,10 +276,8 @@ class VectorLog:
     def log_search(self, queries: DataFrame, k: int, nprobe: int = 16, manifest: DataFrame | None = None) -> DataFrame:
         """Exhaustive search of the probed partitions' rows that no index of the snapshot holds."""
         manifest = self.manifest() if manifest is None else manifest
-        log = self.log()
         probes = self.router.probe(queries, nprobe).select("qid", "partition_id")
-        rows = tail(log, start_offsets(log, committed_offsets(manifest))).join(probes.select("partition_id").distinct(), "partition_id", "left_semi")
-        return probed_knn(rows, queries, probes, k, self.options.metric)
+        return probed_knn(self.open_rows(manifest), queries, probes, k, self.options.metric)
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 16, manifest: DataFrame | None = None) -> DataFrame:
         """(qid, rank, vec_id, distance) over index and tail, of one manifest snapshot."""

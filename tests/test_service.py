@@ -1,5 +1,7 @@
 """Collections that come and go, segments indexed as files arrive, centroid files, places, times, pruned scans."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -55,9 +57,13 @@ def test_only_probed_partitions_are_read(spark, tmp_path):
     engine.append(frame(spark, x), 0)
     engine.index(0)
     q = frame(spark, x[:1], names="qid long, qv array<double>")
-    for df in (engine.index_search(q, 3, 2), engine.log_search(q, 3, 2)):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "PartitionFilters: [partition_id" in plan and " IN (" in plan
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    try:
+        for df in (engine.index_search(q, 3, 2), engine.log_search(q, 3, 2)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert re.search(r"PartitionFilters: \[.*partition_id#\d+L? IN \(\d+,\d+\).*PushedFilters", plan)
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
 def test_centroids_from_a_file_or_trained(spark, tmp_path):
@@ -98,3 +104,31 @@ def test_times_do_not_depend_on_the_time_zone(spark):
             assert {r["latency_seconds"] for r in rows} == {0.25}
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_heads_follow_batches_and_replays(spark, tmp_path):
+    x = np.random.default_rng(4).standard_normal((90, 4))
+    engine = vlog.VectorLog(spark, str(tmp_path / "c"), routing.CentroidRouter(x[:3]))
+    e = frame(spark, x)
+    for batch, rows in ((0, e.where("vec_id < 30")), (2, e.limit(0)), (5, e.where("vec_id >= 30 AND vec_id < 60")), (6, e.where("vec_id >= 60")), (5, e.where("vec_id >= 30 AND vec_id < 60")), (6, e.where("vec_id >= 60"))):
+        engine.append(rows, batch)
+    rows = engine.log().select("partition_id", "log_offset").collect()
+    for p in range(3):
+        mine = sorted(r["log_offset"] for r in rows if r["partition_id"] == p)
+        assert mine == list(range(len(mine)))
+    assert len(rows) == 90
+    assert {r["partition_id"]: r["head"] for r in engine._heads(7).collect()} == {r["partition_id"]: r["end_offset"] for r in vlog.end_offsets(engine.log()).collect()}
+
+
+def test_committed_offsets_reach_the_scan(spark, tmp_path):
+    x = np.random.default_rng(5).standard_normal((200, 4))
+    engine = vlog.VectorLog(spark, str(tmp_path / "c"), routing.CentroidRouter(x[:4]), segment_bytes=200)
+    engine.append(frame(spark, x), 0)
+    engine.index(0)
+    rows = engine.open_rows(engine.manifest())
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "GreaterThanOrEqual(log_offset" in plan
+    whole = engine.log()
+    want = vlog.tail(whole, vlog.start_offsets(whole, vlog.committed_offsets(engine.manifest())))
+    key = lambda df: sorted((r["partition_id"], r["log_offset"]) for r in df.collect())
+    assert key(rows) == key(want) and 0 < rows.count() < 200
