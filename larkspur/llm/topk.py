@@ -6,9 +6,10 @@ sum l ((m_q - m_x)^2 + (s_q - s_x)^2), so an upper bound of their inner product.
 to fine; pairs whose bound stays below the query's k-th best score so far are dropped, and only the
 survivors are multiplied out in integers.
 
-Rows are packed into blocks of vectors; every query block meets every block of candidates in one
-equi-join on a group number. No block is collected anywhere, a task holds two blocks at a time, and a
-group's rows are spread evenly whatever the data.
+Rows are packed into blocks of vectors; every query block meets every block of candidates. Query blocks go
+to the candidates in rounds of about ROUND bytes, so what the driver and a task hold at once does not grow
+with the tables; no other block is collected anywhere. Of equal vectors only the rows of the k + 1 smallest
+ids are candidates: they have one score, so no other row of them can be among a query's k best.
 
 Defined cases: a vector that is null, or holds a null or non-finite component, and a row with a null
 vec_id take no part; vectors of different lengths do not meet; every repeated candidate row is a row of
@@ -32,6 +33,8 @@ QUERIES, CANDIDATES = 256, 2048  #: vectors in a block
 PAIRS = 1 << 15  #: pairs multiplied at a time
 TILE = (32, 256)  #: queries and candidates
 HELD = 1 << 22  #: best rows a task keeps before it passes those of a query block on
+WIDE = 256  #: components of a vector beyond which blocks hold fewer vectors
+ROUND = 4 << 20  #: bytes of query blocks sent to all tasks at once
 LONGEST = (1 << 63) - 1
 
 
@@ -41,7 +44,7 @@ def usable(embedding: Column) -> Column:
 
 
 def _pack(size: int):
-    """Rows (vec_id, v) to blocks (dim, n, ids, matrix) of at most ``size`` vectors of one length."""
+    """Rows (vec_id, v) to blocks (dim, n, ids, matrix) of at most ``size`` vectors of one length, fewer of long ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -57,7 +60,7 @@ def _pack(size: int):
             for i, v in zip(b.column("vec_id").to_pylist(), b.column("v").to_pylist(), strict=True):
                 rows = held.setdefault(len(v), [])
                 rows.append((i, v))
-                if len(rows) >= size:
+                if len(rows) >= size or len(rows) * len(v) >= size * WIDE:
                     yield block(len(v))
         for dim in list(held):
             yield block(dim)
@@ -108,74 +111,97 @@ def exact_forms(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array([[int(v) for v in row] for row in m.tolist()], object).reshape(m.shape) for m in (q, x))
 
 
-def search_block(qids: np.ndarray, q: np.ndarray, xids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query its (scores, ids) that can be among the k best, given that ``floor`` is reached elsewhere."""
-    qf, xf = np.asarray(q, np.float64), np.asarray(x, np.float64)
-    qn, xn = (qf * qf).sum(1), (xf * xf).sum(1)
-    slack = 1e-9 * (qn[:, None] + xn[None, :]) + 1e-6
+class Block:
+    """A block's ids and vectors, their norms and, once asked for, the statistics of each level."""
+
+    def __init__(self, ids: bytes, n: int, dim: int, data: bytes):
+        self.ids = np.frombuffer(ids, "<i8")
+        self.v = np.frombuffer(data, "<f8" if len(data) == 8 * n * dim and dim else "<i4").reshape(n, dim)
+        self.floats = np.asarray(self.v, np.float64)
+        self.norms = (self.floats * self.floats).sum(1)
+        self.most = int(np.abs(self.floats).max()) if self.v.size else 0
+        self.forms: dict[tuple, np.ndarray] = {}
+
+    def statistics(self, segments: int, kind: type) -> np.ndarray:
+        if (segments, kind) not in self.forms:
+            self.forms[segments, kind] = statistics(self.floats, segments).astype(kind)
+        return self.forms[segments, kind]
+
+    def singles(self) -> np.ndarray:
+        if () not in self.forms:
+            self.forms[()] = self.v.astype(np.float32)
+        return self.forms[()]
+
+
+def search_block(q: Block, x: Block, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, scores and ids that can be among their k best, given that ``floor`` is reached elsewhere."""
+    small = q.most * x.most * q.v.shape[1] < 1 << 24  # products and their sums are exact in float32
+    kind, part, least = (np.float32, 1e-5, 4.0) if small else (np.float64, 1e-9, 1e-6)
+    qe, xe = (q.singles(), x.singles()) if small else exact_forms(q.v, x.v)
+    slack_q, slack_x = part * q.norms + least, (part * x.norms).astype(kind)
+    alive = q.ids[:, None] != x.ids[None, :]
     floor = floor.copy()
-    own = qids[:, None] == xids[None, :]
-    alive = ~own
-
-    qe, xe = exact_forms(q, x)
-
-    for level, segments in enumerate(LEVELS):
-        a, b = statistics(qf, segments), statistics(xf, segments)
-        bound = tile_products(a, b, alive) + slack  # (|q|^2 + |x|^2 - lower bound of the distance) / 2
-        bound[~alive] = -np.inf
-        # the candidates with the best bounds raise the floor
-        m = min(k, bound.shape[1])
-        top = np.argpartition(-bound, m - 1, axis=1)[:, :m]
-        i = np.repeat(np.arange(len(q)), m)
-        s = pair_products(qe, xe, i, top.ravel()).reshape(len(q), m).astype(np.float64)
-        s[~np.take_along_axis(alive, top, 1)] = -np.inf
-        if m == k:
-            floor = np.maximum(floor, s.min(1))
-        alive &= ~(bound < np.minimum(floor, LONGEST - 2048)[:, None])  # scores held at a long's end tie
+
+    def limit() -> np.ndarray:
+        return np.minimum(floor, LONGEST - 2048)  # scores held at a long's end tie
+
+    for segments in LEVELS:
+        bound = tile_products(q.statistics(segments, kind), x.statistics(segments, kind), alive)  # (|q|^2 + |x|^2 - lower bound of the distance) / 2
+        new = np.flatnonzero(floor == -np.inf)
+        if len(new) and len(x.ids) >= k:  # the candidates with the best bounds make the first floor
+            top = np.argpartition(np.where(alive[new], -bound[new], np.inf), k - 1, axis=1)[:, :k]
+            s = pair_products(qe, xe, np.repeat(new, k), top.ravel()).reshape(len(new), k).astype(np.float64)
+            s[~np.take_along_axis(alive[new], top, 1)] = -np.inf
+            floor[new] = s.min(1)
+        alive &= bound + slack_x >= (limit() - slack_q)[:, None].astype(kind)
+    score = tile_products(qe, xe, alive)
+    if score.dtype in (np.float32, np.float64):
+        alive &= score >= limit()[:, None].astype(score.dtype)
     i, j = np.nonzero(alive)
-    score = tile_products(qe, xe, alive)[i, j]
+    score = score[i, j]
     score = np.array([max(-LONGEST - 1, min(LONGEST, s)) for s in score.tolist()], np.int64) if score.dtype == object else score.astype(np.int64)
-    out = []
-    cuts = np.searchsorted(i, np.arange(len(q) + 1))
-    for r in range(len(q)):
-        s, ids = score[cuts[r] : cuts[r + 1]], xids[j[cuts[r] : cuts[r + 1]]]
-        best = np.lexsort((ids, -np.maximum(s, -LONGEST)))[:k]
-        out.append((s[best], ids[best]))
-    return out
+    return i, score, x.ids[j]
 
 
-def _vectors(data: bytes, n: int, dim: int) -> np.ndarray:
-    kind = "<f8" if len(data) == 8 * n * dim and dim else "<i4"
-    return np.frombuffer(data, kind).reshape(n, dim)
+class Best:
+    """The k best (row, score, id) of each query of a block so far; ``floor`` is a query's k-th best score."""
 
+    def __init__(self, q: Block):
+        self.q = q
+        self.row, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
+        self.floor = np.full(len(q.ids), -np.inf)
 
-def _search(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        #: of each query block, the k best (score, id) of its queries in this task, the block used last at the end
-        best: dict[bytes, list[tuple[np.ndarray, np.ndarray]]] = {}
+    def meet(self, x: Block, k: int) -> None:
+        found = search_block(self.q, x, k, self.floor)
+        if not len(found[0]):
+            return
+        row, score, ids = (np.r_[a, b] for a, b in zip((self.row, self.score, self.id), found, strict=True))
+        o = np.lexsort((ids, -np.maximum(score, -LONGEST), row))
+        row, score, ids = row[o], score[o], ids[o]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        self.floor[row[rank == k - 1]] = score[rank == k - 1]
+        self.row, self.score, self.id = row[rank < k], score[rank < k], ids[rank < k]
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"query_id": self.q.ids[self.row], "vec_id": self.id, "score": self.score})
 
-        def rows(block: bytes) -> pa.RecordBatch:
-            found = best.pop(block)
-            qids = np.repeat(np.frombuffer(block, "<i8"), [len(f[0]) for f in found])
-            return pa.RecordBatch.from_pydict({"query_id": qids, "vec_id": np.concatenate([f[1] for f in found]).astype(np.int64), "score": np.concatenate([f[0] for f in found]).astype(np.int64)})
 
+def _search(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, Best] = {}  # by query block, the one used last at the end
+        last, x = None, None
         for b in batches:
             for r in b.to_pylist():
-                qids, xids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                q, x = _vectors(r["q_matrix"], r["q_n"], r["dim"]), _vectors(r["matrix"], r["n"], r["dim"])
-                so_far = best.pop(r["q_ids"], [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(qids))
-                floor = np.array([s[-1] if len(s) == k else -np.inf for s, _ in so_far])
-                found = search_block(qids, q, xids, x, k, floor)
-                merged = []
-                for (s, i), (t, j) in zip(so_far, found, strict=True):
-                    s, i = np.r_[s, t], np.r_[i, j]
-                    order = np.lexsort((i, -np.maximum(s, -LONGEST)))[:k]
-                    merged.append((s[order], i[order]))
-                best[r["q_ids"]] = merged
+                if last != (r["ids"], r["matrix"]):
+                    last = r["ids"], r["matrix"]
+                    x = Block(r["ids"], r["n"], r["dim"], r["matrix"])
+                mine = best.pop(r["q_ids"], None) or Best(Block(r["q_ids"], r["q_n"], r["dim"], r["q_matrix"]))
+                mine.meet(x, k)
+                best[r["q_ids"]] = mine
                 while len(best) > max(1, HELD // (QUERIES * max(1, k))):
-                    yield rows(next(iter(best)))
-        for block in list(best):
-            yield rows(block)
+                    yield best.pop(next(iter(best))).rows()
+        for mine in best.values():
+            yield mine.rows()
 
     return run
 
@@ -189,16 +215,26 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         e = F.col("embedding").cast("array<double>")
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
 
-    groups = max(1, partitions(embeddings))
-    cand = materialize(rows(embeddings).mapInArrow(_pack(CANDIDATES), BLOCK).withColumn("g", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(groups)).cast("int")), "topk-x")
-    asked = rows(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = materialize(asked.mapInArrow(_pack(QUERIES), BLOCK), "topk-q")
-    used = cand.select("g").distinct()
-    cells = asked.select("dim", *(F.col(c).alias(f"q_{c}") for c in ("n", "ids", "matrix")))
-    cells = cells.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(used, "g", "left_semi").join(cand, ["g", "dim"])
-    found = cells.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    # of equal vectors the rows of the k + 1 smallest ids: one may be the query's own
+    equal = Window.partitionBy("h", "v").orderBy("vec_id")
+    first = rows(embeddings).withColumn("h", F.xxhash64("v")).withColumn("n", F.dense_rank().over(equal)).where(F.col("n") <= k + 1).select("vec_id", "v")
+    cand = materialize(first.mapInArrow(_pack(CANDIDATES), BLOCK).repartition(partitions(embeddings)), "topk-x")
+    asked = rows(queries).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(_pack(QUERIES), BLOCK)
+    asked = materialize(asked.select("dim", *(F.col(c).alias(f"q_{c}") for c in ("n", "ids", "matrix"))), "topk-q")
+    # rounds by the blocks' own bytes: what a table takes on disk tells little of repeated vectors
+    blocks, size = asked.agg(F.count("*"), F.sum(F.octet_length("q_matrix") + F.octet_length("q_ids"))).first()
+    rounds = max(1, min(blocks, -(-(size or 0) // ROUND)))
+    asked = asked.withColumn("round", F.pmod(F.xxhash64("q_ids"), F.lit(rounds)))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = None
+    for turn in range(rounds):
+        some = asked.where(F.col("round") == turn).drop("round")
+        found = cand.join(F.broadcast(some), "dim").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        if rounds > 1:
+            found = materialize(found, "topk-found")
+        out = found if out is None else out.union(found)
+    return out
 
 
 TOP_K_SQL = """
