@@ -20,6 +20,10 @@ a run. The steps:
 4. The operator decides window by window within a group (``resolve``), by its own method.
 5. ``verify``: where the spans are cut out, each text is compared with those it was paired with.
 
+Where an operator asks for it, copies of whole texts go first (``whole_copies``): every window of a copy starts
+earlier, and so does in its first text every window that others share with it, so only first texts take
+the steps above. Copies meet by SHA-256, and each is compared with its first.
+
 Nothing is dropped or capped: a run is settled either by equal content or by comparing its windows, and
 equal hashes are never taken for equal texts.
 
@@ -35,10 +39,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import NULL_ID, drop, materialize, partitions, texts, whole_groups
+from larkspur.llm.common import NULL_ID, drop, marked, materialize, partitions, texts, whole_groups
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -403,17 +407,41 @@ def keyed(docs: DataFrame, row: bool = False) -> DataFrame:
     return base.withColumn("th", F.xxhash64("text") if again else F.lit(0).cast("long"))
 
 
-def duplicate_spans(docs: DataFrame, spec: Spec, values: Callable[[bytes], np.ndarray], symbols: Callable[[bytes], np.ndarray], slices: Slices, dtype: str, resolve: Callable[[Rows], tuple[np.ndarray, ...]]) -> DataFrame:
+def whole_copies(base: DataFrame, least: int, count: Callable[[Column], Column]) -> DataFrame:
+    """(doc, th, n) of documents of ``least`` symbols or more whose text a document with a smaller id has; n symbols each."""
+    sized = materialize(base.select("doc", "th", F.sha2("text", 256).alias("key"), count(F.col("text")).cast("long").alias("n")).where(F.col("n") >= least), "digests")
+    first = sized.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("key", "first")
+    copies = materialize(sized.join(first, "key").select("doc", "th", "key", "n", "first"), "copies")
+    drop(sized)
+    # only texts that have copies are dealt, and joined as written tables, so a text's copies can be split among tasks
+    some = marked(base.withColumn("place", F.xxhash64("doc", "th")), copies.select(F.xxhash64("doc", "th").alias("place")), "place").where("is_set")
+    late, head = (some.join(copies.where(of).select("doc", "th", "key"), ["doc", "th"]).select("key", F.col("text").alias(name)) for of, name in (("doc > first", "a"), ("doc = first", "b")))
+    if late.join(head, "key").where("a <> b").limit(1).count():
+        raise Differ
+    return copies.where("doc > first").select("doc", "th", "n")
+
+
+def without(base: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc, th, text) of the documents that are not in ``keys``; only those that may be there are dealt."""
+    some = marked(base.withColumn("place", F.xxhash64("doc", "th")), keys.select(F.xxhash64("doc", "th").alias("place")), "place").select("doc", "th", "text", "is_set")
+    rest = some.where("is_set").join(keys, ["doc", "th"], "left_anti")
+    return some.where(~F.col("is_set")).union(rest).select("doc", "th", "text")
+
+
+def duplicate_spans(docs: DataFrame, spec: Spec, values: Callable[[bytes], np.ndarray], symbols: Callable[[bytes], np.ndarray], slices: Slices, dtype: str, resolve: Callable[[Rows], tuple[np.ndarray, ...]], count: Callable[[Column], Column] | None = None) -> DataFrame:
     """(doc, th, spans array<struct<start, size, expect>>) of keyed documents that have duplicate windows.
 
     ``values`` maps a text to the hashed symbols that choose anchors, ``symbols`` to those compared, ``slices``
-    to the text of symbols. Whoever uses the spans must ``verify`` them.
+    to the text of symbols, ``count``, if copies of whole texts are to go first, to their number. Whoever uses
+    the spans must ``verify`` them.
     """
     parts = partitions(docs)
     base = docs.select("doc", "th", "text")
     if base.where("th <> 0").limit(1).count():  # rows that repeat a doc_id and text are one document
         base = base.dropDuplicates(["doc", "th"])
-    runs = materialize(base.mapInArrow(runs_of(values, slices, spec), RUNS), "runs")
+    copies = whole_copies(base, spec.window, count) if count else None
+    firsts = without(base, copies) if count else base
+    runs = materialize(firsts.select("doc", "th", "text").mapInArrow(runs_of(values, slices, spec), RUNS), "runs")
     limit = max(256, runs.count() // (4 * parts))
     sample = runs.where((F.pmod("content", F.lit(SAMPLE)) == 0) & (F.col("at").bitwiseAND(255) > 0))
     # about 4 * parts keys can pass the limit
@@ -438,6 +466,9 @@ def duplicate_spans(docs: DataFrame, spec: Spec, values: Callable[[bytes], np.nd
     more = materialize(rows.mapInArrow(resolved(resolve, dtype), SPANS), "spans")
     sure = found.where(F.col("kind") == SPAN).select("doc", "th", F.col("at").alias("start"), "size", F.lit(None).cast("binary").alias("expect"))
     spans = sure.union(more).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "size", "expect")).alias("spans"))
+    if count:
+        whole = F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("size"), F.lit(None).cast("binary").alias("expect"))
+        spans = spans.union(copies.select("doc", "th", F.array(whole).alias("spans")))
     out = materialize(spans, "doc-spans")
     drop(found, more)
     return out

@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from larkspur.llm.anchors import Differ, Rows, Spec, U, covered, duplicate_spans, hashes, keyed, mix, prefix, repeated, verify
 from larkspur.llm.common import texts, tune
@@ -138,7 +139,7 @@ def suffix_duplicates(rows: Rows, window: int = WINDOW) -> tuple[np.ndarray, ...
 
 def substring_spans(docs: DataFrame) -> DataFrame:
     """(doc, th, spans) of keyed documents: byte spans that occur earlier."""
-    return duplicate_spans(docs, Spec(WINDOW, GRAM, True), byte_values, byte_symbols, byte_slices, "u1", suffix_duplicates)
+    return duplicate_spans(docs, Spec(WINDOW, GRAM, True), byte_values, byte_symbols, byte_slices, "u1", suffix_duplicates, F.octet_length)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
