@@ -42,12 +42,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import NULL_ID, drop, marked, materialize, partitions, texts, whole_groups
+from larkspur.llm.common import NULL_ID, drop, marked, materialize, partitions, texts, trimmed, whole_groups
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 SAMPLE = 16  #: one in so many contents tells which k-grams are frequent
-PIECE = 1 << 20  #: symbols worked on at a time; longer documents go in overlapping pieces
+PIECE = 1 << 20  #: symbols worked on at a time
+PART = 1 << 18  #: symbols whose runs are chosen at a time; longer documents go in overlapping pieces
+HELD = 50_000  #: contexts held at a time, those of one document apart
 
 _powers: list[np.ndarray] = []
 
@@ -187,11 +189,11 @@ def runs_of(symbols: Callable[[bytes], np.ndarray], slices: Slices, spec: Spec):
         rows, offsets, arrays, total = [], [], [], 0
         for r, t in enumerate(batch):
             s = symbols(t)
-            for at in range(0, max(1, len(s) - spec.window + 1), PIECE):
-                part = s[at : at + PIECE + spec.window - 1]
+            for at in range(0, max(1, len(s) - spec.window + 1), PART):
+                part = s[at : at + PART + spec.window - 1]
                 if len(part) < spec.window:
                     continue
-                if total and total + len(part) > PIECE:
+                if total and total + len(part) > PART:
                     yield rows, offsets, arrays
                     rows, offsets, arrays, total = [], [], [], 0
                 rows.append(r)
@@ -321,12 +323,27 @@ def contexts(symbols: Callable[[bytes], np.ndarray], slices: Slices, spec: Spec)
                 cut[r] = slices(batch[r])
             yield (to * 31 + d) % (1 << 62), d, t, to << 16, length, cut[r](start, length)
 
+    def held(out: list[tuple], shared: dict[tuple[int, bytes], list[tuple[int, int, int, int, int]]]) -> pa.RecordBatch:
+        for (_, payload), rows in shared.items():
+            rows.sort()
+            dup = repeated(*(np.array([r[i] for r in rows]) for i in (0, 1, 2)), np.arange(len(rows)) == 0, spec.own).tolist() if len(rows) > 1 else [False]
+            for (doc, th, start, anchor, deal), d in zip(rows, dup, strict=True):
+                out.append(((start * 31 + doc) % (1 << 62), doc, th, start << 16, w, None) if d else (deal, doc, th, (start << 16) | (anchor << 8) | 1, 0, payload))
+        names = ["deal", "doc", "th", "at", "size"]
+        cols = list(zip(*out, strict=True)) if out else [()] * 6
+        arrays = [pa.array(list(cols[i]), pa.int64()) for i in range(5)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(list(cols[5]), pa.binary())], [*names, "payload"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             batch = texts(b)
             out = list(asked(b, batch))
             shared: dict[tuple[int, bytes], list[tuple[int, int, int, int, int]]] = {}
+            n_shared = 0
             for doc, th, text, items in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), batch, b.column("items").to_pylist(), strict=True):
+                if len(out) + n_shared > HELD:
+                    yield held(out, shared)
+                    out, shared, n_shared = [], {}, 0
                 s = symbols(text) if items else None
                 for x in items:
                     start, anchor, n = x["at"] >> 16, (x["at"] >> 8) & 255, x["at"] & 255
@@ -337,15 +354,8 @@ def contexts(symbols: Callable[[bytes], np.ndarray], slices: Slices, spec: Spec)
                     deals = mix(hashes(prefix(mix(part.astype(U) + U(1))), np.arange(n), w) + U(x["h"] & (2**64 - 1))).astype(np.int64).tolist()
                     for j in range(n):
                         shared.setdefault((x["h"], part[j : j + w].tobytes()), []).append((doc, th, start + j, anchor - j, deals[j]))
-            for (_, payload), rows in shared.items():
-                rows.sort()
-                dup = repeated(*(np.array([r[i] for r in rows]) for i in (0, 1, 2)), np.arange(len(rows)) == 0, spec.own).tolist() if len(rows) > 1 else [False]
-                for (doc, th, start, anchor, deal), d in zip(rows, dup, strict=True):
-                    out.append(((start * 31 + doc) % (1 << 62), doc, th, start << 16, w, None) if d else (deal, doc, th, (start << 16) | (anchor << 8) | 1, 0, payload))
-            names = ["deal", "doc", "th", "at", "size"]
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            arrays = [pa.array(list(cols[i]), pa.int64()) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(cols[5]), pa.binary())], [*names, "payload"])
+                    n_shared += n
+            yield held(out, shared)
 
     return run
 
@@ -441,7 +451,7 @@ def duplicate_spans(docs: DataFrame, spec: Spec, values: Callable[[bytes], np.nd
         base = base.dropDuplicates(["doc", "th"])
     copies = whole_copies(base, spec.window, count) if count else None
     firsts = without(base, copies) if count else base
-    runs = materialize(firsts.select("doc", "th", "text").mapInArrow(runs_of(values, slices, spec), RUNS), "runs")
+    runs = materialize(firsts.select("doc", "th", "text").mapInArrow(trimmed(runs_of(values, slices, spec)), RUNS), "runs")
     limit = max(256, runs.count() // (4 * parts))
     sample = runs.where((F.pmod("content", F.lit(SAMPLE)) == 0) & (F.col("at").bitwiseAND(255) > 0))
     # about 4 * parts keys can pass the limit
@@ -449,7 +459,7 @@ def duplicate_spans(docs: DataFrame, spec: Spec, values: Callable[[bytes], np.nd
     dealt = runs.join(F.broadcast(often), "h", "left").select(*runs.columns, F.coalesce("hot", F.lit(False)).alias("hot"))
     dealt = dealt.repartition(parts, F.when(F.col("hot"), F.xxhash64("h", "content")).otherwise(F.col("h")))
     dealt = dealt.sortWithinPartitions("h", "content", "doc", "th", "at")
-    found = materialize(dealt.mapInArrow(settled(spec), CHECKS), "settled")
+    found = materialize(dealt.mapInArrow(trimmed(settled(spec)), CHECKS), "settled")
     drop(runs)
     checks = found.where(F.col("kind") == RUN)
     limit = max(64, checks.count() // (2 * parts))
@@ -461,9 +471,9 @@ def duplicate_spans(docs: DataFrame, spec: Spec, values: Callable[[bytes], np.nd
     place = [F.when(pair, F.col(f"from_{c}")).otherwise(F.col(c)).alias(c) for c in ("doc", "th")]
     left = found.where(F.col("kind") != SPAN).join(F.broadcast(hot), "h", "left").select(*place, item.alias("item"), ask.alias("ask"))
     items = left.groupBy("doc", "th").agg(F.collect_list("item").alias("items"), F.collect_list("ask").alias("asks"))
-    rows = base.join(items, ["doc", "th"]).mapInArrow(contexts(symbols, slices, spec), CONTEXTS)
+    rows = base.join(items, ["doc", "th"]).mapInArrow(trimmed(contexts(symbols, slices, spec)), CONTEXTS)
     rows = rows.repartition(parts, "deal").sortWithinPartitions("deal", "doc", "th", "at")
-    more = materialize(rows.mapInArrow(resolved(resolve, dtype), SPANS), "spans")
+    more = materialize(rows.mapInArrow(trimmed(resolved(resolve, dtype)), SPANS), "spans")
     sure = found.where(F.col("kind") == SPAN).select("doc", "th", F.col("at").alias("start"), "size", F.lit(None).cast("binary").alias("expect"))
     spans = sure.union(more).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "size", "expect")).alias("spans"))
     if count:

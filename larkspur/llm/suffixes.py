@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.anchors import Differ, Rows, Spec, U, covered, duplicate_spans, hashes, keyed, mix, prefix, repeated, verify
-from larkspur.llm.common import texts, tune
+from larkspur.llm.common import texts, trimmed, tune
 
 WINDOW = 100
 GRAM = 32
-AT_ONCE = 4_000_000  #: suffixes sorted at a time
+AT_ONCE = 50_000  #: suffixes sorted at a time, those of one group apart
 
 _table = mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F))
 
@@ -108,7 +108,21 @@ def merge_sort(pos: np.ndarray, segment: np.ndarray, compare: Comparer) -> np.nd
 
 
 def suffix_duplicates(rows: Rows, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Duplicate windows (doc, th, start, length) among the contexts of whole groups."""
+    """Duplicate windows (doc, th, start, length) among the contexts of whole groups, in parts of about AT_ONCE suffixes."""
+    cuts = np.flatnonzero(np.r_[True, rows.group[1:] != rows.group[:-1], True])
+    upto = np.r_[0, np.cumsum(rows.n)][cuts]
+    found, at = [], 0
+    while at < len(cuts) - 1:
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + AT_ONCE, side="right")) - 1)
+        s, e = int(cuts[at]), int(cuts[end])
+        first, last = int(rows.begin[s]), int(rows.begin[e]) if e < len(rows.begin) else len(rows.symbols)
+        part = (x[s:e] for x in (rows.group, rows.doc, rows.th, rows.start, rows.anchor, rows.n))
+        found.append(_duplicates(Rows(*part, rows.begin[s:e] - first, rows.symbols[first:last]), window))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+
+
+def _duplicates(rows: Rows, window: int) -> tuple[np.ndarray, ...]:
     empty = (np.zeros(0, np.int64),) * 4
     row = np.repeat(np.arange(len(rows.n)), rows.n)
     j = np.arange(len(row)) - np.repeat(np.cumsum(rows.n) - rows.n, rows.n)
@@ -164,7 +178,7 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     tune(docs.sparkSession)
     base = keyed(docs)
     spans = substring_spans(base)
-    return base.join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return base.join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans").mapInArrow(trimmed(_remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 REMOVE_SUBSTRINGS_SQL = f"""
